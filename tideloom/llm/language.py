@@ -149,7 +149,7 @@ def fit(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", label: str
 def purified(parts: list[tuple[str, str]], order: int = ORDER, share: float = 0.6, repeats: int = 8) -> ContextTrees:
     """Trees from labelled sentences whose labels may be wrong.
 
-    Sentences that open alike are one group. A group whose occurrences, weighted by the labels' frequencies, lie under
+    Sentences of equal length that open alike are one group. A group whose occurrences, weighted by the labels' frequencies, lie under
     one label by at least `share` keeps that label; the others, foreign sentences strewn into texts of several
     languages, are labelled by the trees of the first and then join the fit, each group at most `repeats` times.
     """
@@ -157,7 +157,7 @@ def purified(parts: list[tuple[str, str]], order: int = ORDER, share: float = 0.
     if not parts:
         return ContextTrees({lang: [" "] for lang in langs}, order)
     bare = [fold(letters(x)) for _, x in parts]
-    group, names = pd.factorize(pd.Series([" ".join(x.split(" ")[:2]) for x in bare]))
+    group, names = pd.factorize(pd.Series([" ".join(x.split(" ")[:2]) + f" {x.count(' ')}" for x in bare]))
     raw = np.array([langs.index(lang) for lang, _ in parts])
     seen = np.zeros((len(names), len(langs)))
     np.add.at(seen, (group, raw), 1)
