@@ -34,6 +34,7 @@ SAMPLE_ROWS = 250
 ORDER = 4
 #: Links, addresses, handles and tags carry no language, nor do numbers.
 NO_WORDS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[@#][\w-]+|\S*\d\S*")
+INVISIBLE = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 SENTENCE = re.compile(r"(?<=[.!?…»”\"])\s+|\n+")
 
@@ -55,7 +56,7 @@ def fold(text: str) -> str:
 
 
 def letters(text: str) -> str:
-    return " ".join(WORD.findall(NO_WORDS.sub(" ", text)))
+    return " ".join(WORD.findall(NO_WORDS.sub(" ", text.translate(INVISIBLE))))
 
 
 class ContextTrees:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import cooccurrence, format_duplicates, language, leakage
+from tideloom.llm import cooccurrence, format_duplicates, language, leakage, personal_data
 from tideloom.runtime import first_delivery, table
 
 
@@ -21,6 +21,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).where("n_ab * n >= 4 * n_a * n_b").select("item_a", "item_b")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.mentions(_posts(spark, sf_dir, "content"), table(spark, sf_dir, "person_name_tokens"), "id", "content")
+    return found.select(F.col("id").alias("post_id"), "kind", "start_at")
+
+
+def _redacted(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
+    rows = personal_data.redacted(_posts(spark, sf_dir, "content"), table(spark, sf_dir, "person_name_tokens"), "id", "content", b"tideloom", style)
+    return rows.select(F.col("id").alias("post_id"), "redacted", "n_mentions")
+
+
+def p5_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _redacted(spark, sf_dir, "placeholder")
+
+
+def p5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _redacted(spark, sf_dir, "surrogate")
+
+
 def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = format_duplicates.format_duplicates(_posts(spark, sf_dir, "content"), "id", "content")
     return rows.where("id = first_id").select("first_id", "copies")
@@ -59,6 +77,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.join(labels, "doc_id").where("named is null or named <> found_lang").select("doc_id", "found_lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p7_found, p7_classes, p8_found, p8_leaks, p10_found, p10_segments, p10_languages)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p7_found, p7_classes, p8_found, p8_leaks, p10_found, p10_segments, p10_languages)}
 
 SQL: dict[str, str] = {}
