@@ -5,14 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import cooccurrence, format_duplicates, language, leakage, personal_data
-from tideloom.runtime import first_delivery, table
+from tideloom.llm import cooccurrence, format_duplicates, language, leakage, personal_data, similar_vectors
+from tideloom.runtime import first_delivery, latest_hub, table
 
 
 def _posts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return first_delivery(table(spark, sf_dir, "posts").select("id", "received_at", *columns))
 
 
+DIM = 384
+
+
+def _near(spark: SparkSession, sf_dir: str, name: str, vector: str, order: str) -> DataFrame:
+    rows = table(spark, sf_dir, name).select("id", vector, order)
+    if name == "event_hubs":
+        rows = latest_hub(rows)
+        order = None
+    found = similar_vectors.most_similar(rows, "id", vector, DIM, k=10, min_sim=0.90, order=order)
+    return found.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = _near(spark, sf_dir, "posts", "embedding", "received_at").select(F.lit("post").alias("kind"), "id_a", "id_b")
+    hubs = _near(spark, sf_dir, "event_hubs", "centroid", "last_updated_at").select(F.lit("hub").alias("kind"), "id_a", "id_b")
+    return posts.union(hubs)
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar posts of every post whose id is divisible by 20, against all posts."""
+    rows = table(spark, sf_dir, "posts").select("id", "embedding", "received_at")
+    found = similar_vectors.most_similar(rows, "id", "embedding", DIM, k=10, order="received_at", queries="id % 20 = 0", cells=256, lists=32)
+    return found.select(F.col("id").alias("post_id"), "other_id", F.round("sim", 4).alias("sim"), "rank")
+
+
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.cooccurrence(_posts(spark, sf_dir, "entities"), "id", "entities", min_pairs=5)
 
@@ -77,6 +102,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.join(labels, "doc_id").where("named is null or named <> found_lang").select("doc_id", "found_lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p7_found, p7_classes, p8_found, p8_leaks, p10_found, p10_segments, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p7_found, p7_classes, p8_found, p8_leaks, p10_found, p10_segments, p10_languages)}
 
 SQL: dict[str, str] = {}
