@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import cooccurrence, format_duplicates, language, leakage, personal_data, similar_vectors
-from tideloom.runtime import first_delivery, latest_hub, table
+from tideloom.llm import cooccurrence, format_duplicates, language, leakage, personal_data, similar_vectors, similarity_clusters
+from tideloom.runtime import cut, first_delivery, latest_hub, table
 
 
 def _posts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar posts of every post whose id is divisible by 20, against all posts."""
     rows = table(spark, sf_dir, "posts").select("id", "embedding", "received_at")
-    found = similar_vectors.most_similar(rows, "id", "embedding", DIM, k=10, order="received_at", queries="id % 20 = 0", cells=256, lists=32)
+    found = similar_vectors.most_similar(rows, "id", "embedding", DIM, k=10, order="received_at", queries="id % 20 = 0", cells=2048, lists=96)
     return found.select(F.col("id").alias("post_id"), "other_id", F.round("sim", 4).alias("sim"), "rank")
 
 
@@ -64,6 +64,26 @@ def p5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _redacted(spark, sf_dir, "surrogate")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "posts").select("id", "received_at", "event_id", "deleted_at", "embedding")
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_clusters.similarity_clusters(_vectors(spark, sf_dir), "id", "embedding", DIM, order="received_at", keep=["event_id", "deleted_at"], where="deleted_at is null")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = cut(_clusters(spark, sf_dir))
+    hubs = similarity_clusters.main_label(members, "event_id")
+    return members.join(hubs, "cluster_id").where("event_id is null or event_id <> main_label").select(F.col("id").alias("post_id"), F.col("main_label").alias("hub_id"))
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    members = cut(_clusters(spark, sf_dir))
+    return similarity_clusters.describe(rows, members, "id", "embedding", DIM, order="received_at").select("cluster_id", "size", F.array_join("typical_ids", ",").alias("typical_ids"))
+
+
 def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = format_duplicates.format_duplicates(_posts(spark, sf_dir, "content"), "id", "content")
     return rows.where("id = first_id").select("first_id", "copies")
@@ -102,6 +122,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.join(labels, "doc_id").where("named is null or named <> found_lang").select("doc_id", "found_lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p7_found, p7_classes, p8_found, p8_leaks, p10_found, p10_segments, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p6_found, p6_clusters, p7_found, p7_classes, p8_found, p8_leaks, p10_found, p10_segments, p10_languages)}
 
 SQL: dict[str, str] = {}
