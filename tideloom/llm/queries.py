@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import cooccurrence, format_duplicates, language, leakage, personal_data, similar_vectors, similarity_clusters
+from tideloom.llm import cooccurrence, format_duplicates, language, leakage, mixing, personal_data, similar_vectors, similarity_clusters
 from tideloom.runtime import cut, first_delivery, latest_hub, table
 
 
@@ -106,6 +106,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).where("verbatim").select("doc_id", "item_id")
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.segments(docs, language.fit(docs))
@@ -122,6 +130,6 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.join(labels, "doc_id").where("named is null or named <> found_lang").select("doc_id", "found_lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p6_found, p6_clusters, p7_found, p7_classes, p8_found, p8_leaks, p10_found, p10_segments, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p6_found, p6_clusters, p7_found, p7_classes, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_segments, p10_languages)}
 
 SQL: dict[str, str] = {}
