@@ -38,8 +38,8 @@ class CFLeaves:
 
     def add(self, sums: np.ndarray, n: np.ndarray) -> None:
         """Insert features (for single rows the unit vector and 1)."""
-        for lo in range(0, len(sums), 2048):
-            self._add(sums[lo : lo + 2048], n[lo : lo + 2048])
+        for lo in range(0, len(sums), 1024):
+            self._add(sums[lo : lo + 1024], n[lo : lo + 1024])
         self._bound()
 
     def _add(self, sums: np.ndarray, n: np.ndarray) -> None:
@@ -64,7 +64,7 @@ class CFLeaves:
         np.add.at(new, back, sums)
         np.add.at(count, back, n)
         self.sums, self.n = np.concatenate([self.sums, new]), np.concatenate([self.n, count])
-        if len(self.n) > 4 * self.max_leaves:
+        if len(self.n) > 2 * self.max_leaves:
             self._bound()
 
     def _bound(self) -> None:
@@ -196,22 +196,25 @@ def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least:
     sent = spark.sparkContext.broadcast(heads)
 
     def chosen(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, anchor) of the assignment pass."""
+        """(row, anchor) of the assignment pass, in slices that keep the similarity matrix small."""
         heads = sent.value
         if not len(heads):
             return np.arange(len(u)), np.zeros(len(u), np.int64)
-        s = u @ heads.T
-        m = min(assign, s.shape[1])
-        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        v = np.take_along_axis(s, top, 1)
-        o = np.argsort(-v, axis=1)
-        top, v = np.take_along_axis(top, o, 1), np.take_along_axis(v, o, 1)
-        clear = v[:, 0] >= 0.55
-        if m > 1:
-            clear &= v[:, 0] - v[:, 1] >= 0.2
-        r = np.repeat(np.arange(len(u)), m)
-        take = np.tile(np.arange(m), len(u)) < np.where(clear, 1, m).repeat(m)
-        return r[take], top.ravel()[take].astype(np.int64)
+        m = min(assign, len(heads))
+        rows, found = [], []
+        for lo in range(0, len(u), 1024):
+            s = u[lo : lo + 1024] @ heads.T
+            top = np.argpartition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m :]
+            v = np.take_along_axis(s, top, 1)
+            o = np.argsort(-v, axis=1)
+            top, v = np.take_along_axis(top, o, 1), np.take_along_axis(v, o, 1)
+            clear = v[:, 0] >= 0.55
+            if m > 1:
+                clear &= v[:, 0] - v[:, 1] >= 0.2
+            take = np.tile(np.arange(m), len(s)) < np.where(clear, 1, m).repeat(m)
+            rows.append(np.repeat(np.arange(lo, lo + len(s)), m)[take])
+            found.append(top.ravel()[take])
+        return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(max(1, len(sent.value)), np.int64)
