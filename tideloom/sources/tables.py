@@ -48,7 +48,8 @@ def validated(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
             reason = reason.when(F.length(c) > n, f"{c} longer than {n}")
     marked = posts.withColumn("reject_reason", reason)
     good = marked.where("reject_reason is null").drop("reject_reason")
-    return good.fillna({"has_media": False, "platform": "unknown", "source_id": "legacy"}, subset=[c for c in ("has_media", "platform", "source_id") if c in posts.columns]), marked.where("reject_reason is not null")
+    defaults = {k: v for k, v in {"has_media": False, "platform": "unknown", "source_id": "legacy"}.items() if k in posts.columns}
+    return (good.fillna(defaults) if defaults else good), marked.where("reject_reason is not null")
 
 
 class SnapshotStore:
