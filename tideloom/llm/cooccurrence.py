@@ -18,6 +18,8 @@ from tideloom.runtime import cut, maybe_broadcast
 
 #: Longest run buffered in a task before it is sorted and written, in pairs (8 bytes each).
 RUN_PAIRS = 2_000_000
+#: A vocabulary up to this size is sent to the tasks; a larger one is joined.
+IN_PLACE = 500_000
 
 
 def spelled(item: Column) -> Column:
@@ -114,7 +116,7 @@ def cooccurrence(records: DataFrame, key: str, items: str, min_pairs: int = 1) -
     side = maybe_broadcast(coded.select("item", "code"), vocabulary)
     baskets = (
         lists.withColumn("r", F.xxhash64("k", "its")).select("k", "r", F.explode("its").alias("item")).join(side, "item").groupBy("k", "r").agg(F.collect_list("code").alias("codes")).where("size(codes) > 1").select("codes")
-        if vocabulary > 500_000
+        if vocabulary > IN_PLACE
         else _coded_in_place(lists, coded)
     )
     runs = baskets.mapInArrow(_runs, "code long, n long")
@@ -129,7 +131,7 @@ def cooccurrence(records: DataFrame, key: str, items: str, min_pairs: int = 1) -
 
 def _coded_in_place(lists: DataFrame, coded: DataFrame) -> DataFrame:
     """A vocabulary of bounded size is sent to the tasks, which number the items of each record without a shuffle."""
-    words = coded.select("item", "code").collect()  # at most 500,000 rows, checked by the caller
+    words = coded.select("item", "code").collect()  # at most IN_PLACE rows, checked by the caller
     index = lists.sparkSession.sparkContext.broadcast({w: c for w, c in words})
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

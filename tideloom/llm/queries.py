@@ -132,4 +132,44 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p6_found, p6_clusters, p7_found, p7_classes, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_segments, p10_languages)}
 
-SQL: dict[str, str] = {}
+_ONCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at) AS rn FROM posts) WHERE rn = 1"
+_HUBS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_updated_at DESC) AS rn FROM event_hubs) WHERE rn = 1"
+_COS = "list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[]))"
+_USABLE = "len({0}) = 384 AND list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[])) > 0"
+
+
+def _near_sql(kind: str, rows: str, vector: str) -> str:
+    return f"""SELECT DISTINCT '{kind}' AS kind, least(x, y) AS id_a, greatest(x, y) AS id_b FROM (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM (
+      SELECT a.id AS x, b.id AS y, round({_COS}, 7) AS s FROM (SELECT id, {vector} AS v FROM ({rows}) WHERE {_USABLE.format(vector)}) a JOIN (SELECT id, {vector} AS v FROM ({rows}) WHERE {_USABLE.format(vector)}) b ON a.id <> b.id WHERE {_COS} >= 0.9)) WHERE r <= 10"""
+
+
+_ITEMS = f"""once AS ({_ONCE}), named AS (SELECT DISTINCT id, item FROM (SELECT id, regexp_replace(trim(regexp_replace(lower(e), '[\\s\\x{{a0}}\\x{{3000}}\\p{{Cf}}]+', ' ', 'g')), '^([^:]*?) ?: ?', '\\1:') AS item FROM (SELECT id, unnest(entities) AS e FROM once)) WHERE length(item) > 0),
+  n1 AS (SELECT item, count(*) AS n FROM named GROUP BY 1), alln AS (SELECT count(DISTINCT id) AS n FROM named),
+  pairs AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM named a JOIN named b ON a.id = b.id AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5),
+  full_pairs AS (SELECT item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, alln.n AS n FROM pairs JOIN n1 x ON x.item = item_a JOIN n1 y ON y.item = item_b, alln)"""
+_BARE = "lower(upper(replace(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'ß', 'ss')))"
+_FORMS = f"""once AS ({_ONCE}), f AS (SELECT id, {_BARE.format("content")} AS flat, list_filter(regexp_split_to_array(content, '[\\r\\n\\x{{2028}}\\x{{2029}}|;]+'), lambda x: length({_BARE.format("x")}) > 0) AS parts FROM once WHERE content IS NOT NULL),
+  g AS (SELECT id, flat, len(parts) >= 2 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}:：]*\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{Cf}}\\p{{Z}}\\s]{{0,40}}[:：].*[\\p{{L}}\\p{{N}}].*$'))) = 0 AS labelled, parts FROM f WHERE length(flat) >= 30),
+  h AS (SELECT id, flat, CASE WHEN labelled THEN '{{' || array_to_string(list_sort(list_transform(parts, lambda x: {_BARE.format("x")})), chr(1)) || '}}' ELSE flat END AS form, labelled FROM g),
+  lead AS (SELECT flat, min(form) FILTER (WHERE labelled) AS lf FROM h GROUP BY 1),
+  k AS (SELECT id, coalesce(lf, form) AS cls FROM h JOIN lead USING (flat)), c AS (SELECT cls, min(id) AS first_id, count(*) AS copies FROM k GROUP BY 1)"""
+_WORDS = "regexp_extract_all(lower(regexp_replace(text, '[\\x{AD}\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g')), '[\\p{L}\\p{N}]+')"
+
+SQL: dict[str, str] = {
+    "p1_found": _near_sql("post", _ONCE, "embedding") + " UNION ALL " + _near_sql("hub", _HUBS, "centroid"),
+    "p4_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM full_pairs WHERE n_ab * n >= 4 * n_a * n_b",
+    "p4_pairs": f"WITH {_ITEMS} SELECT *, n_ab * n / (n_a * n_b) AS lift, ln((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))) AS log_odds FROM full_pairs",
+    "p6_found": f"""WITH RECURSIVE once AS ({_ONCE}), vecs AS (SELECT id, event_id, embedding AS v FROM once WHERE {_USABLE.format('embedding')} AND deleted_at IS NULL),
+      links AS (SELECT a.id AS u, b.id AS w FROM vecs a JOIN vecs b ON a.id <> b.id WHERE {_COS} >= 0.62),
+      reach AS (SELECT DISTINCT u AS root, u AS node FROM links UNION SELECT r.root, l.w FROM reach r JOIN links l ON r.node = l.u),
+      comp AS (SELECT node AS id, min(root) AS c FROM reach GROUP BY 1), big AS (SELECT c FROM comp GROUP BY 1 HAVING count(*) >= 8),
+      m AS (SELECT comp.id, c, event_id FROM comp JOIN big USING (c) JOIN vecs ON vecs.id = comp.id),
+      main AS (SELECT c, event_id AS hub_id FROM (SELECT c, event_id, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, event_id) AS r FROM m WHERE event_id IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
+      SELECT m.id AS post_id, hub_id FROM m JOIN main USING (c) WHERE event_id IS NULL OR event_id <> hub_id""",
+    "p7_found": f"WITH {_FORMS} SELECT first_id, id AS copy_id FROM k JOIN c USING (cls) WHERE id <> first_id",
+    "p7_classes": f"WITH {_FORMS} SELECT first_id, copies FROM c",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+      dg AS (SELECT doc_id, array_to_string(list_slice(w, s, s + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d WHERE len(w) >= 12)),
+      ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, s, s + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i WHERE len(w) >= 12))
+      SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideloom.llm.vectors import batches_of, blocks, first_vectors, matrix, pack, unit, unpack, usable
+from tideloom.llm.vectors import Coded, batches_of, blocks, decoded, first_vectors, matrix, pack, unit, unpack, usable
 from tideloom.runtime import cut
 
 #: Vectors the codebooks are fitted on, in expectation.
@@ -81,11 +81,11 @@ class Codebooks:
 def fit(vectors: DataFrame, vector: str, dim: int, key: str, rows: int, codes: int | None = None, seed: int = 7) -> Codebooks:
     """Codebooks from about `SAMPLE_ROWS` rows chosen by the hash of the key; the fit runs in one task.
 
-    The number of codes grows with the rows, so that one first code keeps a bounded share of them.
+    The number of codes grows with the rows, so that one first code keeps some 16,000 of them at most, and is small for few.
     """
     if codes is None:
-        codes = 256
-        while codes < 4096 and rows / codes > 16_000:
+        codes = 1
+        while codes < 4096 and (rows / codes > 16_000 or (codes < 256 and rows / codes > 64)):
             codes *= 2
 
     def train(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +156,7 @@ def search(entries: DataFrame, dim: int, books: Codebooks, k: int, min_sim: floa
                 for a, codes in by.items():
                     for s in range(int(parts[a])):
                         rows[a + width * s][i] = codes
+            coded = Coded(x)
             keys, packed = [], []
             for block in sorted(set(rows) | set(home)):
                 at = sorted(set(rows[block]) | set(home[block]))
@@ -163,14 +164,14 @@ def search(entries: DataFrame, dim: int, books: Codebooks, k: int, min_sim: floa
                 lengths = np.array([len(rows[block].get(i, ())) for i in at], np.int16)
                 codes = np.array([c for i in at for c in rows[block].get(i, ())], np.int16)
                 keys.append(block)
-                packed.append(pack(h[at], second, lengths, codes, x[at]))
+                packed.append(pack(h[at], second, lengths, codes, *coded.rows(at)))
             yield blocks(keys, packed)
 
     def rerank(table: pa.Table) -> pa.Table:
         parts = [unpack(b) for b in table.column("block").to_pylist()]
-        h, second, lengths, codes, x = (np.concatenate([p[j] for p in parts]) for j in range(5))
-        u = unit(x)
-        del x, parts
+        h, second, lengths, codes = (np.concatenate([p[j] for p in parts]) for j in range(4))
+        u = np.concatenate([unit(decoded(p[4:])) for p in parts])
+        del parts
         places = np.nonzero(second >= 0)[0]
         _, once = np.unique(h[places], return_index=True)
         places = places[once]

@@ -5,7 +5,7 @@
    outlier option (their rows are still assigned in step 3).
 2. The leaves of all partitions are reduced in a tree of tasks, by the same rule, to one bounded set; Ward's criterion
    agglomerates leaves of the same dense region into anchors.
-3. One pass assigns every row to its nearest anchor and, unless that is near and clear, to the next ones too.
+3. One pass assigns every row to its nearest anchors.
 4. Rows of one anchor are linked by exact cosine; the links' components are joined through the rows they share.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideloom.llm.vectors import batches_of, blocks, first_vectors, matrix, pack, unit, unpack, usable
+from tideloom.llm.vectors import Coded, batches_of, blocks, decoded, first_vectors, matrix, pack, unit, unpack, usable
 from tideloom.operators.graph import connected_components
 from tideloom.runtime import cut
 
@@ -178,7 +178,7 @@ def components(u: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
-def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least: float = 0.62, min_size: int = 8, order: str | None = None, keep: list[str] | None = None, max_leaves: int = 2048, assign: int = 4, where: str | None = None) -> DataFrame:
+def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least: float = 0.62, min_size: int = 8, order: str | None = None, keep: list[str] | None = None, max_leaves: int = 2048, assign: int = 3, where: str | None = None) -> DataFrame:
     """`(key, cluster_id, size, *keep)` for the rows of every cluster of at least `min_size` rows.
 
     Rows are linked if their cosine similarity is at least `least`; a cluster is what is linked directly or through
@@ -205,15 +205,8 @@ def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least:
         for lo in range(0, len(u), 1024):
             s = u[lo : lo + 1024] @ heads.T
             top = np.argpartition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m :]
-            v = np.take_along_axis(s, top, 1)
-            o = np.argsort(-v, axis=1)
-            top, v = np.take_along_axis(top, o, 1), np.take_along_axis(v, o, 1)
-            clear = v[:, 0] >= 0.55
-            if m > 1:
-                clear &= v[:, 0] - v[:, 1] >= 0.2
-            take = np.tile(np.arange(m), len(s)) < np.where(clear, 1, m).repeat(m)
-            rows.append(np.repeat(np.arange(lo, lo + len(s)), m)[take])
-            found.append(top.ravel()[take])
+            rows.append(np.repeat(np.arange(lo, lo + len(s)), m))
+            found.append(top.ravel())
         return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,20 +244,22 @@ def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least:
             by = np.argsort(block, kind="stable")
             r, block = r[by], block[by]
             ends = np.nonzero(np.concatenate([block[1:] != block[:-1], [True]]))[0] + 1
+            coded = Coded(x)
             keys, packed, lo = [], [], 0
             for hi in ends.tolist():
                 keys.append(int(block[lo]))
-                packed.append(pack(ids[r[lo:hi]], x[r[lo:hi]]))
+                packed.append(pack(ids[r[lo:hi]], *coded.rows(r[lo:hi])))
                 lo = hi
             yield blocks(keys, packed)
 
     def link(table: pa.Table) -> pa.Table:
         parts = [unpack(b) for b in table.column("block").to_pylist()]
-        ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        ids = np.concatenate([p[0] for p in parts])
+        u = np.concatenate([unit(decoded(p[1:])) for p in parts])
         del parts
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        label = components(unit(x[order]), least)
+        label = components(u[order], least)
         root = ids[label]
         several = np.bincount(label, minlength=len(ids))[label] > 1
         return pa.table({"src": pa.array(root[several], pa.int64()), "dst": pa.array(ids[several], pa.int64())})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -53,25 +54,60 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(norm, 1e-30)[:, None]).astype(np.float32)
 
 
+#: Most distinct numbers of a batch that are replaced by codes.
+DICTIONARY = 4096
+
+
+class Coded:
+    """Float32 rows as codes into the sorted distinct numbers of a batch, where these are few; else the rows themselves.
+
+    Lossless either way: embeddings stored with limited precision shrink to their entropy, others travel as they are.
+    """
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x, self.values, self.codes = x, None, None
+        probe = x.ravel()[: 1 << 16]
+        if len(np.unique(probe)) <= DICTIONARY:
+            codes, values = pd.factorize(np.ascontiguousarray(x).ravel())
+            if len(values) <= DICTIONARY:
+                order = np.argsort(values, kind="stable")
+                place = np.empty(len(values), np.uint16)
+                place[order] = np.arange(len(values), dtype=np.uint16)
+                self.values, self.codes = np.asarray(values)[order], place[codes].reshape(x.shape)
+
+    def rows(self, at: np.ndarray | list[int]) -> tuple[np.ndarray, ...]:
+        """Arrays that stand for the rows `at` in a packed block."""
+        if self.codes is None:
+            return (self.x[at],)
+        planes = np.ascontiguousarray(self.codes[at]).view(np.uint8).reshape(len(at), -1, 2)
+        return self.values, np.ascontiguousarray(planes[..., 0]), np.ascontiguousarray(planes[..., 1])
+
+
+def decoded(arrays: list[np.ndarray]) -> np.ndarray:
+    """The rows of a block from the arrays of `Coded.rows`."""
+    if len(arrays) == 1:
+        return arrays[0]
+    values, low, high = arrays
+    return values[low.astype(np.uint16) | (high.astype(np.uint16) << 8)]
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one block in a row: shapes and types in front, compressed without loss."""
-    head = []
-    for a in arrays:
-        head += [f"{a.dtype.str}:{','.join(map(str, a.shape))}"]
-    body = "|".join(head).encode() + b"\n" + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    # A byte type is written "|u1", so the separator is another character.
+    body = ";".join(f"{a.dtype.str}:{','.join(map(str, a.shape))}" for a in arrays).encode() + b"\n" + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
     body = zstandard.ZstdDecompressor().decompress(block)
-    cut_at = body.index(b"\n")
-    out, at = [], cut_at + 1
-    for head in body[:cut_at].decode().split("|"):
-        kind, shape = head.split(":")
+    at = body.index(b"\n") + 1
+    out = []
+    for head in body[: at - 1].decode().split(";"):
+        kind, shape = head.rsplit(":", 1)
         dims = tuple(map(int, shape.split(",")))
-        n = int(np.prod(dims)) * np.dtype(kind).itemsize
-        out.append(np.frombuffer(body, dtype=np.dtype(kind), count=int(np.prod(dims)), offset=at).reshape(dims))
-        at += n
+        n = int(np.prod(dims))
+        out.append(np.frombuffer(body, dtype=np.dtype(kind), count=n, offset=at).reshape(dims))
+        at += n * np.dtype(kind).itemsize
     return out
 
 
