@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.operators.graph import connected_components
+from tideloom.runtime import cut
 
 
 def canonical(posts: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def flatten_reposts(posts: DataFrame, key: str = "id", max_hops: int = 32) -> Da
     links = posts.where("repost_of_id is not null").select(F.col(key).alias("k"), F.col("repost_of_id").alias("to"))
     for _ in range(max_hops.bit_length()):
         onward = links.select(F.col("k").alias("to"), F.col("to").alias("next"))
-        links = links.join(onward, "to", "left").select("k", F.when(F.col("next").isNull() | (F.col("next") == F.col("k")), F.col("to")).otherwise(F.col("next")).alias("to"))
+        links = cut(links.join(onward, "to", "left").select("k", F.when(F.col("next").isNull() | (F.col("next") == F.col("k")), F.col("to")).otherwise(F.col("next")).alias("to")))
     return links.select(F.col("k").alias(key), F.col("to").alias("repost_of_id"))
 
 
