@@ -23,9 +23,8 @@ from tideloom.llm.vectors import Coded, batches_of, blocks, decoded, first_vecto
 from tideloom.operators.graph import connected_components
 from tideloom.runtime import cut
 
-#: Rows of one anchor handled in one task; more are split and tied together by shared pivots.
-ROWS_A_TASK = 12_000
-PIVOTS = 512
+#: Rows of one anchor handled in one task; more are cut into parts, and each pair of parts is a task.
+ROWS_A_TASK = 30_000
 
 
 class CFLeaves:
@@ -178,7 +177,7 @@ def components(u: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
-def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least: float = 0.62, min_size: int = 8, order: str | None = None, keep: list[str] | None = None, max_leaves: int = 2048, assign: int = 3, where: str | None = None) -> DataFrame:
+def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least: float = 0.62, min_size: int = 8, order: str | None = None, keep: list[str] | None = None, max_leaves: int = 2048, assign: int = 4, where: str | None = None) -> DataFrame:
     """`(key, cluster_id, size, *keep)` for the rows of every cluster of at least `min_size` rows.
 
     Rows are linked if their cosine similarity is at least `least`; a cluster is what is linked directly or through
@@ -233,14 +232,12 @@ def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least:
             if not len(u):
                 continue
             r, a = chosen(u)
-            mix = (ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-            block = a + width * (mix % parts[a].astype(np.uint64)).astype(np.int64)
-            # Pivots of a split anchor, chosen by hash, go to all its parts.
-            pivot = np.nonzero((parts[a] > 1) & ((mix >> np.uint64(8)) % np.maximum(1, parts[a] * ROWS_A_TASK // PIVOTS).astype(np.uint64) == 0))[0]
-            for i in pivot.tolist():
-                more = a[i] + width * np.arange(parts[a[i]])
-                more = more[more != block[i]]
-                r, block = np.concatenate([r, np.full(len(more), r[i])]), np.concatenate([block, more])
+            part = ((ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % parts[a].astype(np.uint64)
+            part = part.astype(np.int64)
+            several = np.repeat(np.arange(len(r)), parts[a])  # one copy for each part that a row's part is paired with
+            other = np.arange(len(several)) - np.repeat(np.cumsum(parts[a]) - parts[a], parts[a])
+            low, high = np.minimum(part[several], other), np.maximum(part[several], other)
+            r, block = r[several], a[several] + width * (high * (high + 1) // 2 + low)
             by = np.argsort(block, kind="stable")
             r, block = r[by], block[by]
             ends = np.nonzero(np.concatenate([block[1:] != block[:-1], [True]]))[0] + 1
