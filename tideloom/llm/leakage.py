@@ -95,7 +95,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
                     for n in sizes:
                         for g in known.intersection(_grams(w, n)):
                             seen[g] += 1
-            yield pd.DataFrame({"g": list(seen), "n": list(seen.values())}, columns=["g", "n"])
+            if seen:
+                yield pd.DataFrame({"g": list(seen), "n": list(seen.values())}, columns=["g", "n"])
 
         held = {r.g: r.n for r in lean.select("t").mapInPandas(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}  # at most one row an item n-gram
         seeds: dict[str, list[int]] = defaultdict(list)

@@ -56,7 +56,7 @@ _WAY = r"(?:street|st|road|rd|avenue|ave|lane|ln|close|boulevard|blvd|drive|way|
 _NAME = r"[^\W\d_][\w'-]*"
 ADDRESS = re.compile(
     rf"(?<![\w.,/-])\d{{1,4}}[a-z]?(?:-\d{{1,4}})?,? +{_NAME}(?: {_NAME})?? +{_WAY}\b\.?"
-    rf"|(?<![\w.,/-])\d{{1,4}}[a-z]?(?: ?bis| ?ter)?,? +(?:rue|avenue|boulevard|chemin|all[ée]e|quai|impasse|place|route) +(?:(?:de|du|des|la|le|les|de la|l'|d') *){{0,2}}{_NAME}"
+    rf"|(?<![\w.,/-])\d{{1,4}}[a-z]?(?: ?bis| ?ter)?,? +(?:rue|avenue|boulevard|chemin|all[ée]e|quai|impasse|place|route) +(?:(?:des|du|de|les|la|le)\b *|[ld]'){{0,3}}{_NAME}(?-i: [A-ZÀ-Þ][\w'-]*)?"
     rf"|\b[^\W\d_]{{3,}}(?:stra(?:ß|ss)e|str\.|gasse|weg|platz|allee|damm|ufer|straat|laan|gracht|kade|plein) +\d{{1,4}}[a-z]?\b"
     rf"|\b(?:via|viale|piazza|corso|largo|vicolo|calle|plaza|avenida|paseo|camino|rua|praça|travessa)(?: +(?:de|del|della|delle|dei|degli|los|las|la|el|da|do|dos|das)){{0,2}} +{_NAME}(?: {_NAME})??,? +(?:n[.°º]* *)?\d{{1,4}}[a-z]?\b",
     re.I,

@@ -147,7 +147,7 @@ _ITEMS = f"""once AS ({_ONCE}), named AS (SELECT DISTINCT id, item FROM (SELECT
   n1 AS (SELECT item, count(*) AS n FROM named GROUP BY 1), alln AS (SELECT count(DISTINCT id) AS n FROM named),
   pairs AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM named a JOIN named b ON a.id = b.id AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 5),
   full_pairs AS (SELECT item_a, item_b, n_ab, x.n AS n_a, y.n AS n_b, alln.n AS n FROM pairs JOIN n1 x ON x.item = item_a JOIN n1 y ON y.item = item_b, alln)"""
-_BARE = "lower(upper(replace(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'), 'ß', 'ss')))"
+_BARE = "lower(upper(regexp_replace(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '[ßẞ]', 'ss', 'g')))"
 _FORMS = f"""once AS ({_ONCE}), f AS (SELECT id, {_BARE.format("content")} AS flat, list_filter(regexp_split_to_array(content, '[\\r\\n\\x{{2028}}\\x{{2029}}|;]+'), lambda x: length({_BARE.format("x")}) > 0) AS parts FROM once WHERE content IS NOT NULL),
   g AS (SELECT id, flat, len(parts) >= 2 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}:：]*\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{Cf}}\\p{{Z}}\\s]{{0,40}}[:：].*[\\p{{L}}\\p{{N}}].*$'))) = 0 AS labelled, parts FROM f WHERE length(flat) >= 30),
   h AS (SELECT id, flat, CASE WHEN labelled THEN '{{' || array_to_string(list_sort(list_transform(parts, lambda x: {_BARE.format("x")})), chr(1)) || '}}' ELSE flat END AS form, labelled FROM g),

@@ -79,7 +79,7 @@ class Coded:
         """Arrays that stand for the rows `at` in a packed block."""
         if self.codes is None:
             return (self.x[at],)
-        planes = np.ascontiguousarray(self.codes[at]).view(np.uint8).reshape(len(at), -1, 2)
+        planes = np.ascontiguousarray(self.codes[at]).view(np.uint8).reshape(len(at), self.codes.shape[1], 2)
         return self.values, np.ascontiguousarray(planes[..., 0]), np.ascontiguousarray(planes[..., 1])
 
 
