@@ -157,7 +157,7 @@ class Finder:
         end, after = b1 - second.endswith("."), i + 2
         # Family name, comma, given name.
         if gap.strip() == "," and "\n" not in gap:
-            if (known[1] and known[2]) or ((known[1] or known[2]) and _LEAD.search(before) and first[:1].isupper() == second[:1].isupper() and len(low1) > 2 and len(low2) > 2):
+            if (known[1] and known[2]) or ((known[1] or known[2] or (strong and first[:1].isupper() and low2 not in _COMMON)) and _LEAD.search(before) and first[:1].isupper() == second[:1].isupper() and len(low1) > 2 and len(low2) > 2):
                 return (end, after) if self._person(flat, tokens, i, after) and not (known[0] and not known[1]) else None
             return None
         if gap.strip(" \t") or not gap:
