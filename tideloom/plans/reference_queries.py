@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions import text as tx
 from tideloom.functions import vectors as vx
-from tideloom.operators import birth, folding, ledger, matching, merging, quality
+from tideloom.operators import birth, corrections, folding, ledger, matching, merging, quality
 from tideloom.plans import read_models
 from tideloom.runtime import cut, first_delivery, latest_hub, table
 
@@ -570,3 +570,61 @@ def feedback_stats(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def training_pairs(spark: SparkSession, d: str) -> DataFrame:
     return read_models.training_pairs(table(spark, d, "clustering_feedback_log"), posts(spark, d, "event_id", "deleted_at"))
+
+
+# Corrections
+
+
+def _merge_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posts, hubs and the pairs of the merge log that name one live target each and do not chain."""
+    h = hubs(spark, d)
+    log = table(spark, d, "hub_merges").where("status = 'merged' and source_event_id <> target_event_id")
+    pairs = log.groupBy(F.col("source_event_id").alias("source_id")).agg(F.min("target_event_id").alias("target_id"))
+    pairs = pairs.join(pairs.select(F.col("source_id").alias("target_id")), "target_id", "left_anti").join(h.select(F.col("id").alias("target_id")), "target_id", "left_semi").join(h.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    return posts(spark, d, "event_id", "deleted_at", "assignment_status", "repost_of_id"), h, pairs.select("source_id", "target_id")
+
+
+_PAIRS = """mp AS (SELECT source_event_id AS s, min(target_event_id) AS t FROM hub_merges WHERE status = 'merged' AND source_event_id <> target_event_id GROUP BY 1),
+ pairs AS (SELECT s, t FROM mp WHERE t NOT IN (SELECT s FROM mp) AND t IN (SELECT id FROM hubs_once) AND s IN (SELECT id FROM hubs_once))"""
+
+
+@query(f"{WITH}, {_PAIRS} SELECT coalesce(t, event_id) AS event_id, count(*) AS n FROM posts_once LEFT JOIN pairs ON s = event_id GROUP BY 1")
+def merged_posts(spark: SparkSession, d: str) -> DataFrame:
+    p, h, pairs = _merge_tables(spark, d)
+    return corrections.apply_merges(p, h, pairs, AS_OF)[0].groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""{WITH}, {_PAIRS}, g AS (SELECT t, CAST(sum(coalesce(member_count, 0)) AS BIGINT) AS more FROM pairs JOIN hubs_once ON id = s GROUP BY 1)
+SELECT id, CASE WHEN p.t IS NULL THEN is_active ELSE false END AS is_active, coalesce(p.t, merged_into_id) AS merged_into_id, CASE WHEN g.t IS NULL THEN member_count ELSE coalesce(member_count, 0) + more END AS member_count FROM hubs_once LEFT JOIN pairs p ON p.s = id LEFT JOIN g ON g.t = id""")
+def merged_hubs(spark: SparkSession, d: str) -> DataFrame:
+    p, h, pairs = _merge_tables(spark, d)
+    return corrections.apply_merges(p, h, pairs, AS_OF)[1].select("id", "is_active", "merged_into_id", "member_count")
+
+
+@query(f"""{WITH}, f AS (SELECT DISTINCT post_id, event_id FROM clustering_feedback_log WHERE feedback_type = 'user_removed')
+SELECT p.id, CASE WHEN f.post_id IS NULL THEN p.event_id END AS event_id, CASE WHEN f.post_id IS NULL THEN assignment_status ELSE 'candidate' END AS assignment_status FROM posts_once p LEFT JOIN f ON f.post_id = p.id AND f.event_id = p.event_id""")
+def unlinked_posts(spark: SparkSession, d: str) -> DataFrame:
+    removed = table(spark, d, "clustering_feedback_log").where("feedback_type = 'user_removed'")
+    return corrections.unlink(posts(spark, d, "event_id", "assignment_status"), removed).select("id", "event_id", "assignment_status")
+
+
+@query(f"""{WITH}, gone AS (SELECT DISTINCT repost_of_id AS id FROM posts_once WHERE repost_of_id IS NOT NULL),
+ heirs AS (SELECT repost_of_id AS o, min(id) AS heir FROM posts_once WHERE repost_of_id IS NOT NULL AND deleted_at IS NULL AND id NOT IN (SELECT id FROM gone) GROUP BY 1)
+SELECT p.id, CASE WHEN heir IS NOT NULL AND NOT (g.id IS NOT NULL AND p.deleted_at IS NULL) THEN CASE WHEN heir <> p.id THEN heir END ELSE repost_of_id END AS repost_of_id, deleted_at IS NOT NULL OR g.id IS NOT NULL AS deleted FROM posts_once p LEFT JOIN gone g ON g.id = p.id LEFT JOIN heirs ON o = p.repost_of_id""")
+def originals_deleted(spark: SparkSession, d: str) -> DataFrame:
+    """Every post that was reposted is deleted; copies take the originals' places."""
+    p = posts(spark, d, "event_id", "deleted_at", "assignment_status", "repost_of_id")
+    gone = p.where("repost_of_id is not null").select(F.col("repost_of_id").alias("id"))
+    return corrections.delete(p, gone, AS_OF).select("id", "repost_of_id", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query()
+def reopened_hubs(spark: SparkSession, d: str) -> DataFrame:
+    p, h, pairs = _merge_tables(spark, d)
+    moved, after, log = corrections.apply_merges(p, h, pairs, AS_OF)
+    return corrections.reopen_merges(moved, after, cut(log), AS_OF)[1].select("id", "is_active", "merged_into_id", "status")
+
+
+@query()
+def broken_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return corrections.broken_invariants(posts(spark, d, "event_id", "deleted_at", "assignment_status", "repost_of_id", "content_sig"))
