@@ -126,6 +126,7 @@ def brute_clusters(ids, x, least, size):
 @pytest.mark.parametrize("rows_a_task", [12_000, 100])
 def test_clusters_against_brute_force(spark, monkeypatch, rows_a_task):
     monkeypatch.setattr(similarity_clusters, "ROWS_A_TASK", rows_a_task)
+    monkeypatch.setattr(similarity_clusters, "PIVOTS", 20)
     x = clouds(900, 4, 0.3)
     x[:300] = x[0] + 0.05 * np.random.default_rng(1).normal(size=(300, DIM))  # a third of all rows
     df = spark.createDataFrame(vec_rows(x) + [(2000, None, None, 1, True, ""), (None, [1.0] * DIM, None, 1, True, ""), (2001, [0.0] * DIM, None, 1, True, "")] + vec_rows(x[:5]), VEC)

@@ -103,6 +103,43 @@ def fit(vectors: DataFrame, vector: str, dim: int, key: str, rows: int, codes: i
     return Codebooks(*unpack(got[0].books))
 
 
+def _above(h: np.ndarray, u: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (query, entry, cosine) of the visited cells with cosine at least `floor`; a query visits a cell once."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for entries, askers in spans:
+        for lo in range(0, len(askers), 4096):
+            qs = askers[lo : lo + 4096]
+            s = u[qs] @ u[entries].T
+            a, b = np.nonzero(s >= floor - 1e-6)
+            other = h[qs[a]] != h[entries[b]]
+            parts.append((h[qs[a]][other], h[entries[b]][other], s[a, b][other]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _best(h: np.ndarray, u: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `k` best (query, entry, cosine) of each query, kept as a running list while the cells are visited."""
+    askers = np.unique(np.concatenate([x for _, x in spans])) if spans else np.zeros(0, np.int64)
+    row = np.full(len(h), -1)
+    row[askers] = np.arange(len(askers))
+    sims, ids = np.full((len(askers), k), -9.0, np.float32), np.full((len(askers), k), -1)
+    for entries, visitors in spans:
+        for lo in range(0, len(visitors), 4096):
+            qs = visitors[lo : lo + 4096]
+            s = u[qs] @ u[entries].T
+            s[h[qs][:, None] == h[entries][None, :]] = -9.0
+            if s.shape[1] > k:
+                top = np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
+                new, who = np.take_along_axis(s, top, 1), entries[top]
+            else:
+                new, who = s, np.broadcast_to(entries, s.shape)
+            at = row[qs]
+            both, names = np.concatenate([sims[at], new], axis=1), np.concatenate([ids[at], who], axis=1)
+            top = np.argpartition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            sims[at], ids[at] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+    a, b = np.nonzero(sims > -2)
+    return h[askers[a]], h[ids[a, b]], sims[a, b]
+
+
 def search(entries: DataFrame, dim: int, books: Codebooks, k: int, min_sim: float | None, cells: int, lists: int) -> DataFrame:
     """`entries(h long, v array<float>, q boolean)` -> `(hq, hp, sim)`: for each entry with q its best others found.
 
@@ -180,34 +217,15 @@ def search(entries: DataFrame, dim: int, books: Codebooks, k: int, min_sim: floa
         owner = np.repeat(np.arange(len(h)), lengths)
         order = np.argsort(codes, kind="stable")
         codes, owner = codes[order], owner[order]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for c in np.unique(of).tolist():
-            p = places[np.searchsorted(of, c) : np.searchsorted(of, c, "right")]
-            o = owner[np.searchsorted(codes, c) : np.searchsorted(codes, c, "right")]
-            for lo in range(0, len(o), 4096):
-                qs = o[lo : lo + 4096]
-                s = u[qs] @ u[p].T
-                if min_sim is None and s.shape[1] > k + 1:
-                    top = np.argpartition(-s, k, axis=1)[:, : k + 1]
-                    a, b = np.repeat(np.arange(len(qs)), k + 1), top.ravel()
-                else:
-                    a, b = np.nonzero(s >= floor - 1e-6)
-                sim = s[a, b]
-                different = h[qs[a]] != h[p[b]]
-                found.append((h[qs[a]][different], h[p[b]][different], sim[different]))
-        if found:
-            hq, hp, sim = (np.concatenate([f[j] for f in found]) for j in range(3))
-            order = np.lexsort((hp, -sim, hq))
-            hq, hp, sim = hq[order], hp[order], sim[order]
-            fresh = np.concatenate([[True], (hq[1:] != hq[:-1]) | (hp[1:] != hp[:-1])]) if len(hq) else np.zeros(0, bool)
-            hq, hp, sim = hq[fresh], hp[fresh], sim[fresh]
-            starts = np.concatenate([[True], hq[1:] != hq[:-1]]) if len(hq) else np.zeros(0, bool)
-            rank = np.arange(len(hq)) - np.maximum.accumulate(np.where(starts, np.arange(len(hq)), 0)) if len(hq) else np.zeros(0, int)
-            keep = rank < k
-            hq, hp, sim = hq[keep], hp[keep], sim[keep]
-        else:
-            hq, hp, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        return pa.table({"hq": pa.array(hq, pa.int64()), "hp": pa.array(hp, pa.int64()), "sim": pa.array(sim.astype(np.float64))})
+        spans = [(places[np.searchsorted(of, c) : np.searchsorted(of, c, "right")], owner[np.searchsorted(codes, c) : np.searchsorted(codes, c, "right")]) for c in np.unique(of).tolist()]
+        hq, hp, sim = _above(h, u, spans, floor) if min_sim is not None else _best(h, u, spans, k)
+        order = np.lexsort((hp, -sim, hq))
+        hq, hp, sim = hq[order], hp[order], sim[order]
+        at = np.arange(len(hq))
+        fresh = np.ones(len(hq), bool)
+        fresh[1:] = hq[1:] != hq[:-1]
+        keep = at - np.maximum.accumulate(np.where(fresh, at, 0)) < k if len(hq) else fresh
+        return pa.table({"hq": pa.array(hq[keep], pa.int64()), "hp": pa.array(hp[keep], pa.int64()), "sim": pa.array(sim[keep].astype(np.float64))})
 
     spread = entries.select("h", "v", "q").mapInArrow(route, "block_key long, block binary")
     return spread.groupBy("block_key").applyInArrow(rerank, "hq long, hp long, sim double")

@@ -23,8 +23,11 @@ from tideloom.llm.vectors import Coded, batches_of, blocks, decoded, first_vecto
 from tideloom.operators.graph import connected_components
 from tideloom.runtime import cut
 
-#: Rows of one anchor handled in one task; more are cut into parts, and each pair of parts is a task.
+#: Rows of one anchor handled in one task; an anchor with more is cut into parts. Its dense core, the rows linked to one
+#: of a few connected pivots, needs no further links among itself and stays in its own part; every other row visits all.
 ROWS_A_TASK = 30_000
+#: Rows sampled as pivots of a split anchor, in expectation.
+PIVOTS = 48
 
 
 class CFLeaves:
@@ -166,8 +169,8 @@ def components(u: np.ndarray, least: float) -> np.ndarray:
             if open_rows is None:
                 open_rows = rest[label[rest] < 0]
             hit = np.zeros(len(open_rows), bool)
-            for lo in range(0, len(front), 1024):
-                hit |= (u[front[lo : lo + 1024]] @ u[open_rows].T >= least).any(axis=0)
+            for lo in range(0, len(front), 512):
+                hit |= (u[front[lo : lo + 512]] @ u[open_rows].T >= least).any(axis=0)
             front = open_rows[hit]
             label[front] = seed
             open_rows = open_rows[~hit]
@@ -177,7 +180,7 @@ def components(u: np.ndarray, least: float) -> np.ndarray:
     return label
 
 
-def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least: float = 0.62, min_size: int = 8, order: str | None = None, keep: list[str] | None = None, max_leaves: int = 2048, assign: int = 4, where: str | None = None) -> DataFrame:
+def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least: float = 0.62, min_size: int = 8, order: str | None = None, keep: list[str] | None = None, max_leaves: int | None = None, assign: int = 4, where: str | None = None) -> DataFrame:
     """`(key, cluster_id, size, *keep)` for the rows of every cluster of at least `min_size` rows.
 
     Rows are linked if their cosine similarity is at least `least`; a cluster is what is linked directly or through
@@ -191,6 +194,8 @@ def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least:
     if where:
         base = base.where(where)
     lean = base.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    if max_leaves is None:  # so that an anchor's rows stay within a task's reach as the table grows
+        max_leaves = min(8_192, max(2_048, rows.count() // 8_000))
     heads = anchors(lean, dim, least, max_leaves)
     sent = spark.sparkContext.broadcast(heads)
 
@@ -217,11 +222,37 @@ def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least:
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["a", "n"])
 
-    parts = np.ones(max(1, len(heads)), np.int64)
+    sizes = np.zeros(max(1, len(heads)), np.int64)
     for r in lean.select("v").mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).collect():  # one row an anchor
-        parts[r.a] = max(1, -(-r.n // ROWS_A_TASK))
+        sizes[r.a] = r.n
+    parts = np.maximum(1, -(-sizes // ROWS_A_TASK))
     splits = spark.sparkContext.broadcast(parts)
 
+    def mixed(ids: np.ndarray) -> np.ndarray:
+        return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+
+    def sample(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.maximum(1, sizes // PIVOTS).astype(np.uint64)
+        for b in stream:
+            ok, u = usable(matrix(b.column(1), dim))
+            ids = b.column(0).to_numpy()[ok]
+            r, a = chosen(u)
+            take = (parts[a] > 1) & (mixed(ids[r]) % every[a] == 0)
+            r, a = r[take], a[take]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids[r]), pa.array([pack(x) for x in u[r]], pa.binary())], names=["a", "id", "v"])
+
+    cores: dict[int, tuple[int, np.ndarray]] = {}
+    if (parts > 1).any():
+        seen: dict[int, list] = defaultdict(list)
+        for r in lean.mapInArrow(sample, "a long, id long, v binary").orderBy("a", "id").collect():  # about PIVOTS rows a split anchor
+            seen[r.a].append((r.id, unpack(r.v)[0]))
+        for a, rows_of in seen.items():
+            x = np.array([v for _, v in rows_of])
+            label = components(x, least)
+            main = label == np.bincount(label).argmax()
+            cores[a] = (rows_of[int(np.nonzero(main)[0][0])][0], x[main])
+    pivots = spark.sparkContext.broadcast(cores)
+
     def route(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = splits.value
         width = len(parts)
@@ -232,12 +263,20 @@ def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least:
             if not len(u):
                 continue
             r, a = chosen(u)
-            part = ((ids[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)) % parts[a].astype(np.uint64)
-            part = part.astype(np.int64)
-            several = np.repeat(np.arange(len(r)), parts[a])  # one copy for each part that a row's part is paired with
-            other = np.arange(len(several)) - np.repeat(np.cumsum(parts[a]) - parts[a], parts[a])
-            low, high = np.minimum(part[several], other), np.maximum(part[several], other)
-            r, block = r[several], a[several] + width * (high * (high + 1) // 2 + low)
+            part = (mixed(ids[r]) % parts[a].astype(np.uint64)).astype(np.int64)
+            core = np.zeros(len(r), bool)
+            known: list[tuple[int, int]] = []  # links to the core, proven here
+            for at, (root, x_core) in pivots.value.items():
+                mine = np.nonzero(a == at)[0]
+                if len(mine):
+                    core[mine] = (u[r[mine]] @ x_core.T >= least).any(axis=1)
+                    known += [(root, int(i)) for i in ids[r[mine[core[mine]]]]]
+            copies = np.where(core, 1, parts[a])
+            several = np.repeat(np.arange(len(r)), copies)
+            turn = np.arange(len(several)) - np.repeat(np.cumsum(copies) - copies, copies)
+            block = a[several] + width * np.where(core[several], part[several], turn)
+            r = r[several]
+            proven = np.array(known, np.int64).reshape(-1, 2)
             by = np.argsort(block, kind="stable")
             r, block = r[by], block[by]
             ends = np.nonzero(np.concatenate([block[1:] != block[:-1], [True]]))[0] + 1
@@ -245,21 +284,23 @@ def similarity_clusters(rows: DataFrame, key: str, vector: str, dim: int, least:
             keys, packed, lo = [], [], 0
             for hi in ends.tolist():
                 keys.append(int(block[lo]))
-                packed.append(pack(ids[r[lo:hi]], *coded.rows(r[lo:hi])))
+                packed.append(pack(proven, ids[r[lo:hi]], *coded.rows(r[lo:hi])))
+                proven = proven[:0]
                 lo = hi
             yield blocks(keys, packed)
 
     def link(table: pa.Table) -> pa.Table:
         parts = [unpack(b) for b in table.column("block").to_pylist()]
-        ids = np.concatenate([p[0] for p in parts])
-        u = np.concatenate([unit(decoded(p[1:])) for p in parts])
+        proven = np.concatenate([p[0] for p in parts])
+        ids = np.concatenate([p[1] for p in parts])
+        u = np.concatenate([unit(decoded(p[2:])) for p in parts])
         del parts
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         label = components(u[order], least)
         root = ids[label]
         several = np.bincount(label, minlength=len(ids))[label] > 1
-        return pa.table({"src": pa.array(root[several], pa.int64()), "dst": pa.array(ids[several], pa.int64())})
+        return pa.table({"src": pa.array(np.concatenate([root[several], proven[:, 0]])), "dst": pa.array(np.concatenate([ids[several], proven[:, 1]]))})
 
     links = lean.mapInArrow(route, "block_key long, block binary").groupBy("block_key").applyInArrow(link, "src long, dst long")
     found = cut(connected_components(cut(links)))
