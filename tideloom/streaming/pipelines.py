@@ -56,10 +56,9 @@ def late_event_stream(events: DataFrame, key: str, event_at: str, received_at: s
         for p, r in zip(pdf.p.tolist(), pdf.r.tolist()):
             for _ in tree.evict(-(-(r - cutoff) // span) - 2):
                 pass
-            if r > (p + 1) * span + cutoff or not tree.add(p, int(r > (p + 1) * span + grace)):
-                fates.append(REFUSED if r > (p + 1) * span + cutoff else AMENDS if r > (p + 1) * span + grace else ON_TIME)
-            else:
-                fates.append(AMENDS if r > (p + 1) * span + grace else ON_TIME)
+            late = r > (p + 1) * span + grace
+            kept = tree.add(p, int(late))  # false too for a period that a later receipt, seen before, has closed
+            fates.append(REFUSED if not kept and r > (p + 1) * span + cutoff else AMENDS if late else ON_TIME)
         state.update((pickle.dumps(tree),))
         yield pd.DataFrame({"k": pdf.k, "p": pdf.p, "fate": fates})
 
