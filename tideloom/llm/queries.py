@@ -34,7 +34,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar posts of every post whose id is divisible by 20, against all posts."""
     rows = table(spark, sf_dir, "posts").select("id", "embedding", "received_at")
-    found = similar_vectors.most_similar(rows, "id", "embedding", DIM, k=10, order="received_at", queries="id % 20 = 0", cells=2048, lists=96)
+    found = similar_vectors.most_similar(rows, "id", "embedding", DIM, k=10, order="received_at", queries="id % 20 = 0", cells=576, lists=44, codes=64)
     return found.select(F.col("id").alias("post_id"), "other_id", F.round("sim", 4).alias("sim"), "rank")
 
 

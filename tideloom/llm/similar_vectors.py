@@ -126,13 +126,17 @@ def _best(h: np.ndarray, u: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray
         for lo in range(0, len(visitors), 4096):
             qs = visitors[lo : lo + 4096]
             s = u[qs] @ u[entries].T
-            s[h[qs][:, None] == h[entries][None, :]] = -9.0
-            if s.shape[1] > k:
-                top = np.argpartition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
+            at = row[qs]
+            hopeful = s.max(axis=1) >= sims[at].min(axis=1)  # most queries have better ones than a later cell's
+            qs, s, at = qs[hopeful], s[hopeful], at[hopeful]
+            if not len(qs):
+                continue
+            if s.shape[1] > k + 1:  # one more than k, as a query's own entry may be among them
+                top = np.argpartition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1 :]
                 new, who = np.take_along_axis(s, top, 1), entries[top]
             else:
                 new, who = s, np.broadcast_to(entries, s.shape)
-            at = row[qs]
+            new = np.where(h[who] == h[qs][:, None], np.float32(-9.0), new)
             both, names = np.concatenate([sims[at], new], axis=1), np.concatenate([ids[at], who], axis=1)
             top = np.argpartition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
             sims[at], ids[at] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
