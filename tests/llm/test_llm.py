@@ -306,6 +306,26 @@ def test_alignment_finds_edited_copies():
     assert leakage.align(["x"], item) == (0, 0.0, 0)
 
 
+def test_leakage_of_edited_copies(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "KEPT_ROWS", 100)
+    rnd = random.Random(8)
+    items = [(i, [f"i{i}w{j}" for j in range(48)]) for i in range(6)]
+    filler = lambda n: [f"f{rnd.randrange(900)}" for _ in range(n)]
+
+    def edited(w, every, drop):
+        return [x for j, v in enumerate(w) for x in ((["so"] if drop else [v, "so"]) if j % every == every - 1 else [v])]
+
+    docs = [(i, filler(30) + edited(w, 8, i % 2) + filler(30)) for i, (_, w) in enumerate(items)]
+    docs += [(10, filler(20) + items[0][1] + filler(20)), (11, items[1][1])]  # other documents hold two of them verbatim
+    docs += [(20, filler(10) + edited(items[2][1][8:40], 7, True) + filler(90)), (21, items[3][1][:8] + filler(40)), (22, edited(items[3][1], 3, False))]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaked_items(df, tests).collect()}
+    assert set(got) == {(i, i) for i in range(6)} | {(10, 0), (11, 1), (20, 2)}
+    assert {p for p, r in got.items() if r.verbatim} == {(10, 0), (11, 1)}
+    assert all(r.share == pytest.approx(47 / 53 if i % 2 == 0 else 42 / 47, abs=0.02) for (i, _), r in got.items() if i < 6)
+
+
 # Mixing
 
 
