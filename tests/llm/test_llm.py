@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideloom.llm import cooccurrence, format_duplicates, language, leakage, mixing, personal_data, similar_vectors, similarity_clusters
+from tideloom.llm import cooccurrence, format_duplicates, language, leakage, mixing, personal_data, queries, similar_vectors, similarity_clusters
 from tideloom.llm.vectors import Coded, decoded, pack, unpack
 
 DIM = 16
@@ -192,6 +192,14 @@ def test_cooccurrence_with_a_large_vocabulary(spark, monkeypatch):
     assert {(r.item_a, r.item_b, r.n_ab) for r in cooccurrence.cooccurrence(df, "id", "items").collect()} == {("a", "b", 10), ("a", "c0", 5), ("a", "c1", 5), ("b", "c0", 5), ("b", "c1", 5)}
 
 
+def test_all_pairs_have_no_least_number(spark):
+    key = lambda r: (r.item_a, r.item_b)
+    every = {key(r): tuple(r) for r in queries.QUERIES["p4_all_pairs"](spark, "/root/testdata/sf0.001").collect()}
+    often = {key(r): tuple(r) for r in queries.p4_pairs(spark, "/root/testdata/sf0.001").collect()}
+    assert {k for k, r in every.items() if r[2] >= 5} == set(often) and all(every[k][:6] == r[:6] for k, r in often.items())
+    assert min(r[2] for r in every.values()) == 1
+
+
 # Personal data
 
 

@@ -42,6 +42,11 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.cooccurrence(_posts(spark, sf_dir, "entities"), "id", "entities", min_pairs=5)
 
 
+def p4_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of entities that occurs, with its counts and the excess over chance; `p4_pairs` has those in 5 posts."""
+    return cooccurrence.cooccurrence(_posts(spark, sf_dir, "entities"), "id", "entities")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).where("n_ab * n >= 4 * n_a * n_b").select("item_a", "item_b")
 
@@ -130,7 +135,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.join(labels, "doc_id").where("named is null or named <> found_lang").select("doc_id", "found_lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p5_found, p5_placeholders, p5_surrogates, p6_found, p6_clusters, p7_found, p7_classes, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_segments, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p4_all_pairs, p5_found, p5_placeholders, p5_surrogates, p6_found, p6_clusters, p7_found, p7_classes, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_segments, p10_languages)}
 
 _ONCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at) AS rn FROM posts) WHERE rn = 1"
 _HUBS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_updated_at DESC) AS rn FROM event_hubs) WHERE rn = 1"
