@@ -168,6 +168,11 @@ def test_merge_candidates_judge_and_greedy(spark):
     assert verdict(0.72, [], [], [], ["NORP:y"]) == "high_similarity"
 
 
+def test_similar_hubs_without_a_time_window(spark):
+    hubs = spark.createDataFrame([(1, True, 5, T0, [1.0, 0.0]), (2, True, 5, T0 + timedelta(days=90), [0.9, 0.1]), (3, True, 1, None, [0.95, 0.0]), (4, False, 9, T0, [1.0, 0.0]), (5, True, 1, T0, [0.0, 1.0])], "id long, is_active boolean, member_count int, last_updated_at timestamp, centroid array<float>")
+    assert {(r.a, r.b) for r in merging.merge_candidates(hubs, 2, floor=0.18, gap_hours=None).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_threshold_curve_and_pick(spark):
     rows = [(0.95, "good"), (0.91, "good"), (0.88, "good"), (0.90, "bad"), (0.84, "bad")]
     curve = quality.threshold_curve(spark.createDataFrame(rows, "similarity double, label string"))

@@ -35,17 +35,21 @@ def dominant_tokens(posts: DataFrame, fraction: float = DEFAULT.merge_identity_f
     return lists.select("event_id", F.sort_array(identity_tokens(F.col("es"), org_only=True)).alias("orgs"), F.sort_array(identity_tokens(F.col("es"))).alias("identity"))
 
 
-def merge_candidates(hubs: DataFrame, dim: int, floor: float = DEFAULT.merge_entity_floor, gap_hours: float = DEFAULT.merge_gap_hours) -> DataFrame:
-    """`(a, b, sim)` of active hubs with cosine at least `floor`, updated within `gap_hours` of each other.
+def merge_candidates(hubs: DataFrame, dim: int, floor: float = DEFAULT.merge_entity_floor, gap_hours: float | None = DEFAULT.merge_gap_hours) -> DataFrame:
+    """`(a, b, sim)` of active hubs with cosine at least `floor`, updated within `gap_hours` of each other; without
+    `gap_hours` all active hubs are compared, also those never updated.
 
     Pairs meet in windows of time of that length (each hub in its own and, as the later one, in the window before), and
     each window is cut into block pairs, so no task holds more than two blocks. `a` is the hub with more members (then
     the smaller id).
     """
-    span = int(gap_hours * 3_600_000_000)
-    lean = hubs.where(F.col("is_active") & (F.size("centroid") == dim)).select(F.col("id").cast("long").alias("k"), F.coalesce("member_count", F.lit(0)).cast("long").alias("m"), F.unix_micros("last_updated_at").alias("t"), F.col("centroid").alias("v")).where("t is not null")
-    lean = lean.withColumn("w", F.floor(F.col("t") / span))
-    spread = lean.select("*", F.explode(F.array(F.col("w"), F.col("w") - 1)).alias("win"))
+    span = None if gap_hours is None else int(gap_hours * 3_600_000_000)
+    lean = hubs.where(F.col("is_active") & (F.size("centroid") == dim)).select(F.col("id").cast("long").alias("k"), F.coalesce("member_count", F.lit(0)).cast("long").alias("m"), F.unix_micros("last_updated_at").alias("t"), F.col("centroid").alias("v"))
+    if span is None:
+        spread = lean.withColumns({"t": F.lit(0).cast("long"), "w": F.lit(0).cast("long"), "win": F.lit(0).cast("long")})
+    else:
+        lean = lean.where("t is not null").withColumn("w", F.floor(F.col("t") / span))
+        spread = lean.select("*", F.explode(F.array(F.col("w"), F.col("w") - 1)).alias("win"))
     sizes = spread.groupBy("win").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
     cut = spread.join(sizes, "win").withColumn("b", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.select("win", F.least("b", "o").alias("left"), F.greatest("b", "o").alias("right"), "b", "k", "m", "t", "w", "v")
@@ -62,7 +66,7 @@ def merge_candidates(hubs: DataFrame, dim: int, floor: float = DEFAULT.merge_ent
         s = u[rows] @ u[cols].T
         i, j = np.nonzero(s >= floor)
         p, q, sim = rows[i], cols[j], s[i, j]
-        keep = (k[p] != k[q]) & (np.abs(t[p] - t[q]) <= span) & ((w[p] == win[p]) | (w[q] == win[q]))
+        keep = (k[p] != k[q]) & (span is None or np.abs(t[p] - t[q]) <= span) & ((w[p] == win[p]) | (w[q] == win[q]))
         p, q, sim = p[keep], q[keep], sim[keep]
         first = (m[p] > m[q]) | ((m[p] == m[q]) & (k[p] < k[q]))
         return pd.DataFrame({"a": np.where(first, k[p], k[q]), "b": np.where(first, k[q], k[p]), "sim": sim})

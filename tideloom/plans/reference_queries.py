@@ -386,7 +386,7 @@ def voice_edges(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hub_graph(spark: SparkSession, d: str) -> DataFrame:
     h = hubs(spark, d)
-    similar = merging.merge_candidates(h, DIM, floor=0.18, gap_hours=24.0 * 40)
+    similar = merging.merge_candidates(h, DIM, floor=0.18, gap_hours=None)
     return merging.hub_graph(merging.birth_edges(h), similar, merging.voice_edges(posts(spark, d, "user_id", "event_id", "deleted_at")))
 
 
