@@ -260,6 +260,20 @@ def test_surrogates_keep_format_and_stay_distinct(spark):
     assert len({re.search(r"\+[\d ]+\d", t)[0] for t in got}) == 300
 
 
+def test_surrogates_keep_the_script_and_refuse_collisions(spark, monkeypatch):
+    for name, script in (("Ζωή Παππά", "[Α-Ωα-ω]"), ("Анна Белова", "[А-Яа-я]"), ("سلمى حداد", "[ا-ي]"), ("王 小明", "[一-鿿]")):
+        new = personal_data.surrogate(b"k", "name", name.lower(), name, 0)
+        assert re.fullmatch(" ".join(f"{script}{{{len(w)}}}" for w in name.split()), new) and new != name
+    df = spark.createDataFrame([(0, "Witness Zorin Ashgrove."), (1, "Witness Rose Pendrake.")], "id long, t string")
+    taken = lambda key, kind, entity, mention, attempt: f"{entity.split()[0]} new{attempt}" if attempt else "Rose Pendrake"
+    monkeypatch.setattr(personal_data, "surrogate", taken)
+    got = {r.redacted for r in personal_data.redacted(df, names(spark), "id", "t", b"k", "surrogate").collect()}
+    assert got == {"Witness ashgrove new1.", "Witness pendrake new1."}
+    monkeypatch.setattr(personal_data, "surrogate", lambda *a: "Same Same")
+    with pytest.raises(ValueError, match="still collide"):
+        personal_data.redacted(df, names(spark), "id", "t", b"k", "surrogate", max_rounds=2).collect()
+
+
 # Formatting duplicates
 
 

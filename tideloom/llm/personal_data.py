@@ -236,6 +236,12 @@ def same_entity(kind: str, mention: str) -> str:
 
 _SYLLABLES = [a + b for a in "b d f g h k l m n p r s t v w z".split() for b in ("a", "e", "i", "o", "u")]
 
+#: Letters that stand in for words of other scripts, by the range of a word's first letter.
+_SCRIPTS = (
+    ("\u0370", "\u03ff", "αβγδεζηθικλμνοπρστυφχψω"), ("\u0400", "\u04ff", "абвгдежзиклмнопрстуфхцчшэюя"), ("\u0590", "\u05ff", "אבגדהוזחטיכלמנסעפצקרשת"),
+    ("\u0600", "\u06ff", "ابتثجحخدرزسشصضطعغفقكلمنهوي"), ("\u4e00", "\u9fff", "安白成大方高国海和江金李林明南平清山石天文小新玉月云长正中"),
+)
+
 
 def surrogate(key: bytes, kind: str, entity: str, mention: str, attempt: int) -> str:
     """A keyed replacement in the mention's own format: digits for digits, pronounceable letters for words, case kept."""
@@ -255,6 +261,10 @@ def surrogate(key: bytes, kind: str, entity: str, mention: str, attempt: int) ->
             return old if m.end() == len(mention) or old.lower() in ("dot", "at") else "mail"
         if old.lower() in ("at", "dot") or (kind == "address" and re.fullmatch(rf"{_WAY}|rue|via|viale|calle|plaza|avenida|de|du|des|del|la|le|los|delle|bis", old, re.I)):
             return old
+        letters = next((x for low, high, x in _SCRIPTS if low <= old[0].lower() <= high), None)
+        if letters:
+            new = "".join(letters[draw(len(letters))] for _ in old)
+            return new.capitalize() if old[0].isupper() and not old[1:].isupper() else new.upper() if old.isupper() else new
         if len(old) == 1:
             return "ABCDEFGHJKLMNPRSTVW"[draw(19)] if old.isupper() else "abcdefghjklmnprstvw"[draw(19)]
         new = "".join(_SYLLABLES[draw(len(_SYLLABLES))] for _ in range(max(2, (len(old) + 1) // 2)))
@@ -271,7 +281,8 @@ def redacted(docs: DataFrame, names: DataFrame, key: str, text: str, secret: byt
 
     `style="placeholder"` writes `[KIND-code]`, `style="surrogate"` a replacement of the same format. The code or
     surrogate depends on `secret` and the entity only, so mentions of one entity agree over the corpus; entities whose
-    replacements collide are drawn again until all are distinct. Keys are expected once.
+    replacements collide, or whose surrogate names an entity of the corpus, are drawn again until all are distinct; if
+    some still collide after `max_rounds`, an error is raised. Keys are expected once.
     """
     spark = docs.sparkSession
     found = cut(mentions(docs, names, key, text))
@@ -286,13 +297,18 @@ def redacted(docs: DataFrame, names: DataFrame, key: str, text: str, secret: byt
             return pd.Series([surrogate(secret, k, e, m, a) for k, e, m, a in zip(kind, entity, model, attempt)])
     draw = F.pandas_udf(make, "string")
     placed = cut(entities.withColumn("new", draw("kind", "entity", "model", "attempt")))
-    for _ in range(max_rounds):
+    real = placed.select(F.col("kind").alias("k3"), F.col("entity").alias("e3"))
+    for turn in range(max_rounds + 1):
         keeper = placed.groupBy(F.col("kind").alias("k2"), F.col("new").alias("n2")).agg(F.min("entity").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-        if keeper.isEmpty():
+        clash = placed.join(keeper, (F.col("kind") == F.col("k2")) & (F.col("new") == F.col("n2")), "left").withColumn("said", canon("kind", "new"))
+        clash = clash.join(real, (F.col("kind") == F.col("k3")) & (F.col("said") == F.col("e3")), "left")
+        again = (F.col("keeper").isNotNull() & (F.col("keeper") != F.col("entity"))) | F.col("e3").isNotNull()
+        clash = cut(clash.select("kind", "entity", "model", "attempt", again.alias("again")))
+        if clash.where("again").isEmpty():
             break
-        clash = placed.join(keeper, (F.col("kind") == F.col("k2")) & (F.col("new") == F.col("n2")), "left")
-        again = F.col("keeper").isNotNull() & (F.col("keeper") != F.col("entity"))
-        placed = cut(clash.select("kind", "entity", "model", (F.col("attempt") + again.cast("int")).alias("attempt")).withColumn("new", draw("kind", "entity", "model", "attempt")))
+        if turn == max_rounds:
+            raise ValueError(f"replacements still collide after {max_rounds} rounds")
+        placed = cut(clash.select("kind", "entity", "model", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")).withColumn("new", draw("kind", "entity", "model", "attempt")))
     n = placed.count()
     pieces = tagged.join(maybe_broadcast(placed.select("kind", "entity", "new"), n), ["kind", "entity"])
     lists = pieces.distinct().groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_at", "end_at", "new"))).alias("cuts"))
