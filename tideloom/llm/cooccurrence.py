@@ -18,6 +18,8 @@ from tideloom.runtime import cut, maybe_broadcast
 
 #: Longest run buffered in a task before it is sorted and written, in pairs (8 bytes each).
 RUN_PAIRS = 2_000_000
+#: Items of one record that are paired at once.
+TILE = 1_024
 #: A vocabulary up to this size is sent to the tasks; a larger one is joined.
 IN_PLACE = 500_000
 
@@ -64,6 +66,18 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if length < 2:
                 continue
             at = starts[lengths == length]
+            if length > TILE:  # a long record is paired tile by tile, so no more than a run is held at once
+                for start in at.tolist():
+                    codes = np.sort(flat[start : start + length])
+                    for a in range(0, length, TILE):
+                        for b in range(a, length, TILE):
+                            grid = (codes[a : a + TILE, None] << 32) | codes[None, b : b + TILE]
+                            held.append(grid[np.triu_indices(len(grid), 1)] if a == b else grid.ravel())
+                            size += held[-1].size
+                            if size >= RUN_PAIRS:
+                                yield flush()
+                                held, size = [], 0
+                continue
             left, right = np.triu_indices(length, 1)
             step = max(1, RUN_PAIRS // len(left))
             for i in range(0, len(at), step):
