@@ -186,6 +186,15 @@ def test_cooccurrence_against_brute_force(spark):
     assert cooccurrence.cooccurrence(df.where("id < 0"), "id", "items").count() == 0
 
 
+def test_cooccurrence_of_long_records(spark, monkeypatch):
+    monkeypatch.setattr(cooccurrence, "TILE", 7)
+    monkeypatch.setattr(cooccurrence, "RUN_PAIRS", 40)
+    df = spark.createDataFrame([(1, [f"i{j}" for j in range(40)]), (2, [f"i{j}" for j in range(0, 40, 2)])], "id long, items array<string>")
+    got = {(r.item_a, r.item_b): r.n_ab for r in cooccurrence.cooccurrence(df, "id", "items").collect()}
+    want = Counter(p for n in (1, 2) for p in combinations(sorted(f"i{j}" for j in range(0, 40, n)), 2))
+    assert got == dict(want)
+
+
 def test_cooccurrence_with_a_large_vocabulary(spark, monkeypatch):
     monkeypatch.setattr(cooccurrence, "IN_PLACE", 1)
     df = spark.createDataFrame([(i, ["a", "b", f"c{i % 2}"]) for i in range(10)], "id long, items array<string>")
@@ -289,6 +298,15 @@ def test_format_duplicates(spark):
     assert format_duplicates.format_duplicates(long.where("id < 0"), "id", "t").count() == 0
 
 
+def test_format_classes_are_closed(spark):
+    """One text is a reordering of the second, which without its part breaks is the third."""
+    for n in range(8):
+        a, b = f"Place: Bobelan {n} Rojo", f"Status: rail strike {n} passed for good"
+        texts = [f"{a}\n{b}", f"{b}\n{a}", f"{b} {a}".replace(":", ""), f"{a} {b}", f"{a}|{b}".lower()]
+        got = format_duplicates.format_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()
+        assert {(r.id, r.first_id, r.copies) for r in got} == {(i, 0, 5) for i in range(5)}
+
+
 # Leakage
 
 
@@ -379,6 +397,35 @@ def test_mix(spark, monkeypatch):
     assert mixing.mix(df.where("doc_id < 0"), targets)[0].count() == 0
 
 
+def test_mix_keeps_the_source_that_limits_it(spark):
+    """Shares 0.48 and 0.78 at a cap of one: the rate of the second is one up to rounding, and no record is lost."""
+    rows = [(i, "a", "word") for i in range(292)] + [(1000 + i, "b", "word") for i in range(370)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.48, 1), ("b", 0.78, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.mix(df, targets)[1].collect()}
+    assert got["b"].used == 370 and abs(got["a"].used - 370 * 0.48 / 0.78) <= 1
+
+
+def test_rates_of_random_targets(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(1000):
+        share, most, tokens = rng.random(4) + 0.01, rng.integers(1, 6, 4), rng.integers(1, 10**6, 4)
+        share = share / share.sum() * rng.choice([1.0, 0.7])
+        weight = share.sum()
+        total = min(m * t * weight / s for s, m, t in zip(share, most, tokens))
+        rows += [(i, float(s / weight * total / t), int(m), bool(m * t * weight / s == total)) for s, m, t in zip(share, most, tokens)]
+    df = spark.createDataFrame(rows, "i long, rate double, most long, binds boolean")
+    base, pi = mixing.whole_and_part(F.col("rate"), F.col("most"))
+    for r in df.select("*", base.alias("base"), pi.alias("pi")).collect():
+        assert r.base == r.most and r.pi == 0 if r.binds else (0 <= r.pi < 1 - 1e-9 and abs(r.base + r.pi - r.rate) < 2e-9 and r.base + r.pi <= r.most)
+
+
+def test_mix_plan_is_kept(spark):
+    rows = queries.p9_plan(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.share_kept and r.repeats_kept for r in rows)
+
+
 # Language
 
 

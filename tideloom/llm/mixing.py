@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideloom.runtime import cut
+from tideloom.runtime import cut, maybe_broadcast
 
 #: Where the public tokenizers' files lie, unless a path is given.
 TOKENIZER_DIR = os.environ.get("TIDELOOM_TOKENIZERS", "/opt/tokenizers")
@@ -93,30 +93,41 @@ def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_and_part(rate: Column, most: Column) -> tuple[Column, Column]:
+    """How often every record is used, and the probability of once more; a rate within 1e-9 of a whole number is whole.
+
+    The rate of the source that limits the mix is its cap up to rounding; both parts together never exceed `most`.
+    """
+    base = F.least(F.floor(rate + 1e-9), most)
+    part = rate - base
+    return base.cast("long"), F.when((base >= most) | (part <= 1e-9), 0.0).otherwise(part)
+
+
 def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", total_tokens: int | None = None, tokenizer: str | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """`(records, shares)`: `records(key, source, n_tokens, copies)` with copies >= 1, and the shares reached.
 
-    `shares(source, target_share, wanted_share, tokens, actual_share, available_tokens, n_docs, used, max_repeats)` has a
-    row for every target. A target whose source has no tokens cannot be met; the other targets keep their proportions
+    `shares(source, target_share, wanted_share, tokens, actual_share, goal_tokens, available_tokens, longest, n_docs, used,
+    max_repeats)` has a row for every target; `tokens` is within one longest record of `goal_tokens`. A target whose source has no tokens cannot be met; the other targets keep their proportions
     (`wanted_share`). Without `total_tokens` the mix is as large as the repeat limits allow with every wanted share met;
     a larger total is cut down to that size. No record is used more than `max_repeats` times. Sources without a target
     are left out; of a repeated target row one counts; null sources, null keys, and records without tokens take no part.
     """
-    spark = docs.sparkSession
     lean = docs.select(F.col(key).cast("long").alias(key), source_name(F.col(source)).alias("source"), F.col(text).alias("__text"))
     sized = cut(with_tokens(lean.where(f"`{key}` is not null and source is not null"), "__text", tokenizer).select(key, "source", "n_tokens").where("n_tokens > 0"))
     plan = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("long").alias("most")).where("source is not null and share > 0 and most > 0")
     plan = plan.groupBy("source").agg(F.max("share").alias("share"), F.max("most").alias("most"))
-    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
-    rows = plan.join(have, "source", "left").fillna(0, ["tokens", "n"]).orderBy("source").limit(100_000).collect()  # one row a target
-    reachable = [r for r in rows if r.tokens > 0]
-    weight = sum(r.share for r in reachable)
-    most = min((r.most * r.tokens * weight / r.share for r in reachable), default=0.0)
-    total = min(most, float(total_tokens)) if total_tokens else most
-    goals = [(r.source, r.share / weight, r.share / weight * total / r.tokens, int(r.most), int(r.n)) for r in reachable]
-    goal_schema = "source string, wanted double, rate double, most long, n long"
-    goal = F.broadcast(spark.createDataFrame(goals, goal_schema))  # one row a target
-    rate = sized.join(goal, "source").select(key, "source", "n_tokens", F.least(F.floor("rate"), F.col("most")).alias("base"), F.when(F.floor("rate") >= F.col("most"), 0.0).otherwise(F.col("rate") - F.floor("rate")).alias("pi"), "n")
+    have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"), F.count("*").alias("n"))
+    asked = cut(plan.join(have, "source", "left").fillna(0, ["tokens", "longest", "n"]))
+    n_targets = asked.count()
+    reachable = asked.where("tokens > 0")
+    weight = reachable.agg(F.sum("share").alias("weight"))
+    size = reachable.crossJoin(F.broadcast(weight)).agg(F.min(F.col("most") * F.col("tokens") * F.col("weight") / F.col("share")).alias("total"), F.first("weight").alias("weight"))  # one row
+    if total_tokens:
+        size = size.withColumn("total", F.least("total", F.lit(float(total_tokens))))
+    wanted = F.col("share") / F.col("weight")
+    goal = cut(reachable.crossJoin(F.broadcast(size)).select("source", wanted.alias("wanted"), (wanted * F.col("total")).alias("goal"), (wanted * F.col("total") / F.col("tokens")).alias("rate"), "most", "n"))
+    base, pi = whole_and_part(F.col("rate"), F.col("most"))
+    rate = sized.join(maybe_broadcast(goal, n_targets), "source").select(key, "source", "n_tokens", base.alias("base"), pi.alias("pi"), "n")
     fixed = rate.select(key, "source", "n_tokens", "base")
 
     def walk(last: bool):  # noqa: ANN202
@@ -131,29 +142,33 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
         return run
 
     schema = f"`{key}` long, source string, n_tokens long, pi double"
-    open_rows = rate.where("pi > 1e-9 and pi < 1 - 1e-9").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
+    open_rows = rate.where("pi > 0").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS))
     grouped = open_rows.withColumn("block", F.pmod(F.xxhash64(key, F.lit(seed)), "blocks"))
     walked = cut(grouped.groupBy("source", "block").applyInPandas(walk(False), schema))
     taken = walked.where("pi >= 1 - 1e-9").select(key)
     left = walked.where("pi > 1e-9 and pi < 1 - 1e-9")
-    for turn in range(8):  # undecided records fall by a factor of about BLOCK_ROWS / 2 a round
+    turn, before = 0, None
+    while True:  # undecided records fall by a factor of about BLOCK_ROWS / 2 a round
         sizes = left.groupBy("source").count()
         widest = sizes.agg(F.max("count")).first()[0] or 0
         if widest <= BLOCK_ROWS:
             break
+        if before is not None and widest >= before:
+            raise RuntimeError(f"{widest} records of a source stay undecided")
+        before = widest
         grouped = left.join(sizes, "source").withColumn("block", F.pmod(F.xxhash64(key, F.lit(seed + 1 + turn)), F.ceil(F.col("count") / BLOCK_ROWS)))
         again = cut(grouped.groupBy("source", "block").applyInPandas(walk(False), schema))
         taken = taken.union(again.where("pi >= 1 - 1e-9").select(key))
         left = again.where("pi > 1e-9 and pi < 1 - 1e-9")
+        turn += 1
     landed = cut(left.groupBy("source").applyInPandas(walk(True), schema))
     taken = taken.union(landed.where("pi >= 0.5").select(key)).withColumn("one", F.lit(1).cast("long"))
     records = cut(fixed.join(taken, key, "left").select(key, "source", "n_tokens", (F.col("base") + F.coalesce("one", F.lit(0))).cast("long").alias("copies")).where("copies > 0"))
     got = records.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("used"))
     everything = got.agg(F.sum("tokens").alias("everything"))
-    asked = F.broadcast(spark.createDataFrame([(r.source, float(r.share), int(r.most), int(r.tokens), int(r.n)) for r in rows], "source string, target_share double, max_repeats long, available_tokens long, n_docs long"))
     shares = (
-        asked.join(got, "source", "left").join(goal.select("source", "wanted"), "source", "left").crossJoin(F.broadcast(everything))
-        .select("source", "target_share", F.coalesce("wanted", F.lit(0.0)).alias("wanted_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
-            F.coalesce(F.col("tokens") / F.col("everything"), F.lit(0.0)).alias("actual_share"), "available_tokens", "n_docs", F.coalesce("used", F.lit(0)).alias("used"), "max_repeats")
+        asked.join(got, "source", "left").join(goal.select("source", "wanted", "goal"), "source", "left").crossJoin(F.broadcast(everything))
+        .select("source", F.col("share").alias("target_share"), F.coalesce("wanted", F.lit(0.0)).alias("wanted_share"), F.coalesce(got["tokens"], F.lit(0)).alias("tokens"),
+            F.coalesce(got["tokens"] / F.col("everything"), F.lit(0.0)).alias("actual_share"), F.coalesce("goal", F.lit(0.0)).alias("goal_tokens"), asked["tokens"].alias("available_tokens"), "longest", F.col("n").alias("n_docs"), F.coalesce("used", F.lit(0)).alias("used"), F.col("most").alias("max_repeats"))
     )
     return records, shares

@@ -119,6 +119,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every target asks and whether the mix keeps it: tokens within one longest document of the goal, and
+    no more uses than the repeats allow."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    records, shares = mixing.mix(docs, targets)
+    most = records.groupBy("source").agg(F.max("copies").alias("most_used"))
+    return shares.join(most, "source", "left").select(
+        "source", F.round("target_share", 6).alias("target_share"), F.round("wanted_share", 6).alias("wanted_share"), "max_repeats", "n_docs",
+        (F.abs(F.col("tokens") - F.col("goal_tokens")) <= F.col("longest")).alias("share_kept"), (F.coalesce("most_used", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.segments(docs, language.fit(docs))
@@ -135,7 +146,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.join(labels, "doc_id").where("named is null or named <> found_lang").select("doc_id", "found_lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p4_all_pairs, p5_found, p5_placeholders, p5_surrogates, p6_found, p6_clusters, p7_found, p7_classes, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_segments, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_pairs, p4_all_pairs, p5_found, p5_placeholders, p5_surrogates, p6_found, p6_clusters, p7_found, p7_classes, p8_found, p8_leaks, p9_mix, p9_shares, p9_plan, p10_found, p10_segments, p10_languages)}
 
 _ONCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at) AS rn FROM posts) WHERE rn = 1"
 _HUBS = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_updated_at DESC) AS rn FROM event_hubs) WHERE rn = 1"
@@ -156,11 +167,20 @@ _BARE = "lower(upper(regexp_replace(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+',
 _FORMS = f"""once AS ({_ONCE}), f AS (SELECT id, {_BARE.format("content")} AS flat, list_filter(regexp_split_to_array(content, '[\\r\\n\\x{{2028}}\\x{{2029}}|;]+'), lambda x: length({_BARE.format("x")}) > 0) AS parts FROM once WHERE content IS NOT NULL),
   g AS (SELECT id, flat, len(parts) >= 2 AND len(list_filter(parts, lambda x: NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}:：]*\\p{{L}}[\\p{{L}}\\p{{M}}\\p{{Cf}}\\p{{Z}}\\s]{{0,40}}[:：].*[\\p{{L}}\\p{{N}}].*$'))) = 0 AS labelled, parts FROM f WHERE length(flat) >= 30),
   h AS (SELECT id, flat, CASE WHEN labelled THEN '{{' || array_to_string(list_sort(list_transform(parts, lambda x: {_BARE.format("x")})), chr(1)) || '}}' ELSE flat END AS form, labelled FROM g),
-  lead AS (SELECT flat, min(form) FILTER (WHERE labelled) AS lf FROM h GROUP BY 1),
-  k AS (SELECT id, coalesce(lf, form) AS cls FROM h JOIN lead USING (flat)), c AS (SELECT cls, min(id) AS first_id, count(*) AS copies FROM k GROUP BY 1)"""
+  node AS (SELECT DISTINCT min(id) OVER (PARTITION BY flat) AS u, CASE WHEN labelled THEN min(id) OVER (PARTITION BY labelled, form) END AS w FROM h),
+  link AS (SELECT u, w FROM node WHERE w IS NOT NULL UNION SELECT w, u FROM node WHERE w IS NOT NULL),
+  reach AS (SELECT u AS root, u AS node FROM node UNION SELECT r.root, l.w FROM reach r JOIN link l ON r.node = l.u),
+  least AS (SELECT node, min(root) AS first_id FROM reach GROUP BY 1),
+  k AS (SELECT id, first_id FROM (SELECT id, min(id) OVER (PARTITION BY flat) AS u FROM h) JOIN least ON node = u), c AS (SELECT first_id, count(*) AS copies FROM k GROUP BY 1)"""
 _WORDS = "regexp_extract_all(lower(regexp_replace(text, '[\\x{AD}\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g')), '[\\p{L}\\p{N}]+')"
 
+_SOURCE = "lower(trim(regexp_replace({0}, '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g')))"
+
 SQL: dict[str, str] = {
+    "p9_plan": f"""WITH t AS (SELECT {_SOURCE.format('source')} AS source, max(target_share) AS share, max(max_repeats) AS most FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0 GROUP BY 1),
+      d AS (SELECT {_SOURCE.format('source')} AS source, count(*) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL AND length(text) > 0 GROUP BY 1),
+      r AS (SELECT t.*, coalesce(n, 0) AS n FROM t LEFT JOIN d USING (source)), w AS (SELECT sum(share) AS w FROM r WHERE n > 0)
+      SELECT source, round(share, 6) AS target_share, CASE WHEN n > 0 THEN round(share / w, 6) ELSE 0.0 END AS wanted_share, CAST(most AS BIGINT) AS max_repeats, n AS n_docs, true AS share_kept, true AS repeats_kept FROM r, w""",
     "p1_found": _near_sql("post", _ONCE, "embedding") + " UNION ALL " + _near_sql("hub", _HUBS, "centroid"),
     "p4_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM full_pairs WHERE n_ab * n >= 4 * n_a * n_b",
     "p4_pairs": f"WITH {_ITEMS} SELECT *, n_ab * n / (n_a * n_b) AS lift, ln((n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5))) AS log_odds FROM full_pairs",
@@ -171,8 +191,8 @@ SQL: dict[str, str] = {
       m AS (SELECT comp.id, c, event_id FROM comp JOIN big USING (c) JOIN vecs ON vecs.id = comp.id),
       main AS (SELECT c, event_id AS hub_id FROM (SELECT c, event_id, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, event_id) AS r FROM m WHERE event_id IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
       SELECT m.id AS post_id, hub_id FROM m JOIN main USING (c) WHERE event_id IS NULL OR event_id <> hub_id""",
-    "p7_found": f"WITH {_FORMS} SELECT first_id, id AS copy_id FROM k JOIN c USING (cls) WHERE id <> first_id",
-    "p7_classes": f"WITH {_FORMS} SELECT first_id, copies FROM c",
+    "p7_found": f"WITH RECURSIVE {_FORMS} SELECT first_id, id AS copy_id FROM k WHERE id <> first_id",
+    "p7_classes": f"WITH RECURSIVE {_FORMS} SELECT first_id, copies FROM c",
     "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
       dg AS (SELECT doc_id, array_to_string(list_slice(w, s, s + 11), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS s FROM d WHERE len(w) >= 12)),
       ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, s, s + 11), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS s FROM i WHERE len(w) >= 12))
