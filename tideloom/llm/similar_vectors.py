@@ -3,7 +3,8 @@
 Each vector is cut into two halves, each half quantised by its own codebook, so a pair of codes names one of K x K
 cells. A search visits the cells in order of the summed half distances (a heap over the two sorted lists of codewords)
 and reranks the entries of those cells by exact cosine. Equal vectors share one entry; the index is spread over the
-first codes, and a search travels only to the first codes it visits, with the vectors in compressed blocks.
+first codes, and a search travels only to the first codes it visits, with the vectors in compressed blocks. A first code
+with many entries is cut by groups of second codes, so a search still goes only to the groups that hold its cells.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from tideloom.llm.vectors import Coded, batches_of, blocks, decoded, first_vectors, matrix, pack, unit, unpack, usable
 from tideloom.runtime import cut
 
-#: Vectors the codebooks are fitted on, in expectation.
+#: Vectors the codebooks are fitted on, in expectation, or eight times the codes if that is more.
 SAMPLE_ROWS = 20_000
-#: Entries of one first code kept in one task; more are split by a salt, and searches visit each part.
+#: Entries kept in one task: a first code with more is cut by its second codes, a single cell with more by a salt.
 ENTRIES_A_TASK = 20_000
+#: Codes a half at most; their products make 16.7 million cells.
+MOST_CODES = 4_096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -79,13 +82,13 @@ class Codebooks:
 
 
 def fit(vectors: DataFrame, vector: str, dim: int, key: str, rows: int, codes: int | None = None, seed: int = 7) -> Codebooks:
-    """Codebooks from about `SAMPLE_ROWS` rows chosen by the hash of the key; the fit runs in one task.
+    """Codebooks from about `SAMPLE_ROWS` rows chosen by the hash of the key; they alone meet in one task for the fit.
 
     The number of codes grows with the rows, so that one first code keeps some 16,000 of them at most, and is small for few.
     """
     if codes is None:
         codes = 1
-        while codes < 4096 and (rows / codes > 16_000 or (codes < 256 and rows / codes > 64)):
+        while codes < MOST_CODES and (rows / codes > 16_000 or (codes < 256 and rows / codes > 64)):
             codes *= 2
 
     def train(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +98,9 @@ def fit(vectors: DataFrame, vector: str, dim: int, key: str, rows: int, codes: i
             left, right = kmeans(x[:, : dim // 2], codes, 8, seed), kmeans(x[:, dim // 2 :], codes, 8, seed + 1)
             yield pa.RecordBatch.from_arrays([pa.array([pack(left, right)], pa.binary())], names=["books"])
 
-    every = max(1, rows // SAMPLE_ROWS)
+    every = max(1, rows // max(SAMPLE_ROWS, 8 * codes))
     sample = vectors.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(vector)
-    got = sample.coalesce(1).mapInArrow(train, "books binary").collect()  # two codebooks
+    got = sample.repartition(1).mapInArrow(train, "books binary").collect()  # two codebooks
     if not got:
         return Codebooks(np.zeros((1, dim // 2), np.float32), np.zeros((1, dim - dim // 2), np.float32))
     return Codebooks(*unpack(got[0].books))
@@ -154,23 +157,34 @@ def search(entries: DataFrame, dim: int, books: Codebooks, k: int, min_sim: floa
     sent = spark.sparkContext.broadcast(books)
     floor = -2.0 if min_sim is None else float(min_sim)
 
+    width = len(books.left)
+    tall = len(books.right)
+
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = defaultdict(int)
         for b in stream:
             if b.num_rows:
                 _, u = usable(matrix(b.column(0), dim))
-                for code, n in zip(*np.unique(sent.value.distances(u)[0].argmin(axis=1), return_counts=True)):
-                    total[int(code)] += int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["code", "n"])
-
-    sizes = entries.select("v").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # one row a first code
-    parts = np.ones(len(books.left), np.int64)
-    for r in sizes:
-        parts[r.code] = max(1, -(-r.n // ENTRIES_A_TASK))
-    splits = spark.sparkContext.broadcast(parts)
+                d1, d2 = sent.value.distances(u)
+                for cell, n in zip(*np.unique(d1.argmin(axis=1) * tall + d2.argmin(axis=1), return_counts=True)):
+                    total[int(cell)] += int(n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["cell", "n"])
+
+    cells_n = cut(entries.select("v").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    groups = np.ones(width, np.int64)
+    for r in cells_n.groupBy(F.floor(F.col("cell") / tall).alias("code")).agg(F.sum("n").alias("n")).collect():  # one row a first code
+        groups[r.code] = min(tall, max(1, -(-r.n // ENTRIES_A_TASK)))
+    full: dict[int, tuple[int, int]] = {}
+    at = width * tall
+    for r in cells_n.where(F.col("n") > ENTRIES_A_TASK).orderBy("cell").collect():  # fewer than all entries / ENTRIES_A_TASK
+        parts = -(-r.n // ENTRIES_A_TASK)
+        full[r.cell] = (at, parts)
+        at += parts
+    splits = spark.sparkContext.broadcast((groups, full))
 
     def route(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, parts = sent.value, splits.value
+        books = sent.value
+        groups, full = splits.value
         for b in batches_of(stream, 12_000):
             x = matrix(b.column(1), dim)
             ok, u = usable(x)
@@ -186,17 +200,16 @@ def search(entries: DataFrame, dim: int, books: Codebooks, k: int, min_sim: floa
             home1, home2 = d1.argmin(axis=1), d2.argmin(axis=1)
             rows: dict[int, dict[int, list[int]]] = defaultdict(dict)  # block -> row -> second codes visited
             home: dict[int, dict[int, int]] = defaultdict(dict)
-            width = len(books.left)
-            for i, (a, s) in enumerate(zip(home1.tolist(), (h % parts[home1]).tolist())):
-                home[a + width * s][i] = int(home2[i])
+            of = groups.tolist()
+            for i, (a, c, key) in enumerate(zip(home1.tolist(), home2.tolist(), h.tolist())):
+                start, parts = full.get(a * tall + c, (0, 0))
+                home[start + key % parts if parts else a + width * (c % of[a])][i] = c
             asks = np.nonzero(q)[0]
             for i, visited in zip(asks.tolist(), books.visits(d1[asks], d2[asks], cells, lists)):
-                by: dict[int, list[int]] = defaultdict(list)
                 for a, c in visited:
-                    by[a].append(c)
-                for a, codes in by.items():
-                    for s in range(int(parts[a])):
-                        rows[a + width * s][i] = codes
+                    start, parts = full.get(a * tall + c, (0, 0))
+                    for block in range(start, start + parts) if parts else (a + width * (c % of[a]),):
+                        rows[block].setdefault(i, []).append(c)
             coded = Coded(x)
             keys, packed = [], []
             for block in sorted(set(rows) | set(home)):
