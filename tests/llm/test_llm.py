@@ -90,6 +90,20 @@ def test_similar_vectors_ties_copies_and_unusable(spark):
     assert similar_vectors.most_similar(spark.createDataFrame([], VEC), "id", "v", DIM).count() == 0
 
 
+@pytest.mark.parametrize("entries", [20_000, 60])
+def test_split_lists_lose_nothing(spark, monkeypatch, entries):
+    """First codes cut by their second codes, and cells cut by a salt, give the same neighbours."""
+    monkeypatch.setattr(similar_vectors, "ENTRIES_A_TASK", entries)
+    x = clouds(1200, 3)
+    x[:300] = x[0] + 0.02 * np.random.default_rng(1).normal(size=(300, DIM))  # one full cell
+    df = spark.createDataFrame(vec_rows(x), VEC)
+    want = brute_neighbours(list(range(1200)), x, 4, 0.9)
+    got = defaultdict(list)
+    for r in similar_vectors.most_similar(df, "id", "v", DIM, k=4, min_sim=0.9, codes=4, cells=16, lists=4).orderBy("id", "rank").collect():
+        got[r.id].append(r.other_id)
+    assert sum(len(set(w) & set(got[i])) for i, w in want.items()) >= 0.99 * sum(map(len, want.values()))
+
+
 def test_heap_order():
     d1, d2 = [0.0, 1.0, 5.0], [0.0, 0.5, 3.0]
     got = similar_vectors.multi_sequence(d1, d2, 9)
@@ -140,6 +154,22 @@ def test_clusters_against_brute_force(spark, monkeypatch, rows_a_task):
     assert all(sizes[c] == len(g) and c == min(g) for c, g in groups.items())
 
 
+def test_cluster_features_add_up():
+    x = clouds(3000, 6, 0.2)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    tree = similarity_clusters.CFTree(DIM, 0.9, 4000, fan=16)
+    tree.add(u, np.ones(3000), np.ones(3000))
+    assert tree.n.sum() == 3000 and tree.squares.sum() == 3000 and np.allclose(tree.sums.sum(axis=0), u.sum(axis=0), atol=1e-2)
+    assert np.bincount(tree.branch).max() <= 16 and np.allclose(tree.tops.sum(axis=0), u.sum(axis=0), atol=1e-2)
+    assert (tree.radius() < 0.6).all() and len(tree.n) < 1500
+    other = similarity_clusters.CFTree(DIM, 0.9, 4000, fan=16)
+    other.add(tree.sums, tree.n, tree.squares)
+    assert other.n.sum() == 3000 and len(other.n) <= len(tree.n)
+    small = similarity_clusters.CFTree(DIM, 0.9, 40, fan=16)
+    small.add(u, np.ones(3000), np.ones(3000))
+    assert len(small.n) == 40
+
+
 def test_cluster_descriptions_and_empty(spark):
     x = np.concatenate([np.eye(DIM)[0] + 0.01 * np.arange(9)[:, None] * np.eye(DIM)[1], np.eye(DIM)[5][None]]).astype(np.float32)
     df = spark.createDataFrame(vec_rows(x), VEC)

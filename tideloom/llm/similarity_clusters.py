@@ -1,10 +1,10 @@
 """Grouping records into similarity clusters: cluster-feature trees, Ward agglomeration, one assignment pass, exact links.
 
-1. Each partition condenses its vectors into at most `max_leaves` cluster features (count and sum), a row joining the
-   nearest leaf within a similarity or opening its own; beyond the bound the lightest leaves give way, as in BIRCH's
-   outlier option (their rows are still assigned in step 3).
-2. The leaves of all partitions are reduced in a tree of tasks, by the same rule, to one bounded set; Ward's criterion
-   agglomerates leaves of the same dense region into anchors.
+1. Each partition condenses its vectors into a tree of at most `max_leaves` cluster features (count, sum, squared sum), a
+   row joining the nearest leaf entry of its branch within a similarity or opening its own; beyond the bound the lightest
+   entries give way, as in BIRCH's outlier option (their rows are still assigned in step 3).
+2. The leaves of all partitions are reduced in a tree of tasks, by the same rule, to one bounded set; in the last task
+   Ward's criterion agglomerates leaves of the same dense region into anchors.
 3. One pass assigns every row to its nearest anchors.
 4. Rows of one anchor are linked by exact cosine; the links' components are joined through the rows they share.
 """
@@ -12,7 +12,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,49 +30,101 @@ ROWS_A_TASK = 30_000
 PIVOTS = 48
 
 
-class CFLeaves:
-    """Leaf entries of a cluster-feature tree with one inner level: the nearest leaf is found by one matrix product."""
+class CFTree:
+    """A cluster-feature tree: leaf entries (count, sum, sum of squared norms) under inner entries that carry their sums.
 
-    def __init__(self, dim: int, near: float, max_leaves: int) -> None:
-        self.near, self.max_leaves = near, max_leaves
+    A row descends to the nearest inner entry and there joins the nearest leaf entry, if their similarity is at least
+    `near`, or opens its own. An inner entry with more than `fan` leaf entries splits by its two least similar ones.
+    Rows come in batches, so each step is a matrix product. Features are additive: `add` takes those of other trees.
+    """
+
+    def __init__(self, dim: int, near: float, max_leaves: int, fan: int = 128) -> None:
+        self.near, self.max_leaves, self.fan = near, max_leaves, fan
         self.sums = np.zeros((0, dim), np.float32)
         self.n = np.zeros(0, np.float64)
+        self.squares = np.zeros(0, np.float64)
+        self.branch = np.zeros(0, np.int64)
+        self.tops = np.zeros((0, dim), np.float32)
 
-    def add(self, sums: np.ndarray, n: np.ndarray) -> None:
-        """Insert features (for single rows the unit vector and 1)."""
+    def add(self, sums: np.ndarray, n: np.ndarray, squares: np.ndarray) -> None:
+        """Insert features (for single rows the unit vector, 1 and 1)."""
         for lo in range(0, len(sums), 1024):
-            self._add(sums[lo : lo + 1024], n[lo : lo + 1024])
+            self._add(sums[lo : lo + 1024], n[lo : lo + 1024], squares[lo : lo + 1024])
         self._bound()
 
-    def _add(self, sums: np.ndarray, n: np.ndarray) -> None:
+    def radius(self) -> np.ndarray:
+        """Root mean squared distance of each leaf entry's rows from their centroid."""
+        mean = self.sums / np.maximum(self.n, 1)[:, None]
+        return np.sqrt(np.maximum(self.squares / np.maximum(self.n, 1) - np.einsum("ij,ij->i", mean, mean), 0))
+
+    def _add(self, sums: np.ndarray, n: np.ndarray, squares: np.ndarray) -> None:
         u = unit(sums)
-        if len(self.n):
-            s = u @ unit(self.sums).T
-            at = s.argmax(axis=1)
-            hit = s[np.arange(len(u)), at] >= self.near
-            np.add.at(self.sums, at[hit], sums[hit])
-            np.add.at(self.n, at[hit], n[hit])
-            sums, n, u = sums[~hit], n[~hit], u[~hit]
-        if not len(u):
-            return
+        at = (u @ unit(self.tops).T).argmax(axis=1) if len(self.tops) else np.zeros(len(u), np.int64)
+        opened = []
+        for top in np.unique(at).tolist():
+            mine = np.nonzero(at == top)[0]
+            own = np.nonzero(self.branch == top)[0]
+            if len(own):
+                s = u[mine] @ unit(self.sums[own]).T
+                best = s.argmax(axis=1)
+                hit = s[np.arange(len(mine)), best] >= self.near
+                to = own[best[hit]]
+                np.add.at(self.sums, to, sums[mine[hit]])
+                np.add.at(self.n, to, n[mine[hit]])
+                np.add.at(self.squares, to, squares[mine[hit]])
+                mine = mine[~hit]
+            if len(mine):
+                opened.append((top, mine))
+        for top, mine in opened:
+            self._open(top, u[mine], sums[mine], n[mine], squares[mine])
+        self._totals()
+        for top in np.nonzero(np.bincount(self.branch, minlength=len(self.tops)) > self.fan)[0].tolist():
+            self._split(top)
+        if len(self.n) > 2 * self.max_leaves:
+            self._bound()
+
+    def _open(self, top: int, u: np.ndarray, sums: np.ndarray, n: np.ndarray, squares: np.ndarray) -> None:
         s = u @ u.T >= self.near
         leader = np.full(len(u), -1)
         for i in np.argsort(-n, kind="stable"):
             if leader[i] < 0:
-                mine = s[i] & (leader < 0)
-                leader[mine] = i
+                leader[s[i] & (leader < 0)] = i
+                leader[i] = i
         heads, back = np.unique(leader, return_inverse=True)
-        new, count = np.zeros((len(heads), sums.shape[1]), np.float32), np.zeros(len(heads))
-        np.add.at(new, back, sums)
-        np.add.at(count, back, n)
-        self.sums, self.n = np.concatenate([self.sums, new]), np.concatenate([self.n, count])
-        if len(self.n) > 2 * self.max_leaves:
-            self._bound()
+        new = [np.zeros((len(heads), sums.shape[1]), np.float32), np.zeros(len(heads)), np.zeros(len(heads))]
+        for to, x in zip(new, (sums, n, squares)):
+            np.add.at(to, back, x)
+        self.sums, self.n, self.squares = np.concatenate([self.sums, new[0]]), np.concatenate([self.n, new[1]]), np.concatenate([self.squares, new[2]])
+        self.branch = np.concatenate([self.branch, np.full(len(heads), top)])
+
+    def _totals(self) -> None:
+        self.tops = np.zeros((int(self.branch.max()) + 1 if len(self.branch) else 0, self.sums.shape[1]), np.float32)
+        np.add.at(self.tops, self.branch, self.sums)
+
+    def _split(self, top: int) -> None:
+        pending = [top]
+        while pending:
+            top = pending.pop()
+            own = np.nonzero(self.branch == top)[0]
+            if len(own) <= self.fan:
+                continue
+            u = unit(self.sums[own])
+            one = int((u @ u[0]).argmin())
+            two = int((u @ u[one]).argmin())
+            lean = u @ (u[one] - u[two])
+            away = own[np.argsort(lean, kind="stable")[: len(own) // 2]] if (lean >= 0).all() or (lean < 0).all() else own[lean < 0]
+            new = len(self.tops)
+            self.branch[away] = new
+            self.tops = np.concatenate([self.tops, self.sums[away].sum(axis=0, keepdims=True)])
+            self.tops[top] = self.sums[self.branch == top].sum(axis=0)
+            pending += [top, new]
 
     def _bound(self) -> None:
         if len(self.n) > self.max_leaves:
             keep = np.sort(np.argsort(-self.n, kind="stable")[: self.max_leaves])
-            self.sums, self.n = self.sums[keep], self.n[keep]
+            self.sums, self.n, self.squares = self.sums[keep], self.n[keep], self.squares[keep]
+            self.branch = np.unique(self.branch[keep], return_inverse=True)[1]
+            self._totals()
 
 
 def ward(sums: np.ndarray, n: np.ndarray, stop: float) -> np.ndarray:
@@ -80,10 +132,12 @@ def ward(sums: np.ndarray, n: np.ndarray, stop: float) -> np.ndarray:
     sums, n = sums.astype(np.float64).copy(), n.astype(np.float64).copy()
     alive = np.ones(len(n), bool)
     c = sums / np.maximum(n, 1e-9)[:, None]
-    u = c / np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
-    sim = u @ u.T
-    np.fill_diagonal(sim, -2)
-    pairs = [(i, j) for i, j in zip(*np.nonzero(np.triu(sim, 1) >= stop))]
+    u = (c / np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]).astype(np.float32)
+    pairs = []
+    for lo in range(0, len(u), 1024):
+        i, j = np.nonzero(u[lo : lo + 1024] @ u.T >= stop)
+        later = j > i + lo
+        pairs += zip((i[later] + lo).tolist(), j[later].tolist())
     cost = lambda i, j: n[i] * n[j] / (n[i] + n[j]) * float(((c[i] - c[j]) ** 2).sum())
     import heapq
 
@@ -111,36 +165,37 @@ def ward(sums: np.ndarray, n: np.ndarray, stop: float) -> np.ndarray:
 def anchors(rows: DataFrame, dim: int, near: float, max_leaves: int, fan_in: int = 8) -> np.ndarray:
     """Steps 1 and 2 over `rows(v)`: unit anchors, at most `max_leaves`."""
 
+    def blob(*parts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pack(*parts)], pa.binary())], names=["leaves"])
+
     def condense(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = CFLeaves(dim, near, max_leaves)
+        tree = CFTree(dim, near, max_leaves)
         for b in stream:
             if b.num_rows:
                 _, u = usable(matrix(b.column(0), dim))
-                tree.add(u, np.ones(len(u)))
+                tree.add(u, np.ones(len(u)), np.ones(len(u)))
         if len(tree.n):
-            yield pa.RecordBatch.from_arrays([pa.array([pack(tree.sums, tree.n)], pa.binary())], names=["leaves"])
+            yield blob(tree.sums, tree.n, tree.squares)
 
     leaves = cut(rows.select("v").mapInArrow(condense, "leaves binary"))
 
-    def merge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = CFLeaves(dim, near, max_leaves)
-        seen = False
-        for b in stream:
-            for blob in b.column(0).to_pylist():
-                tree.add(*unpack(blob))
-                seen = True
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(tree.sums, tree.n)], pa.binary())], names=["leaves"])
+    def merge(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = CFTree(dim, near, max_leaves)
+            for b in stream:
+                for x in b.column(0).to_pylist():
+                    tree.add(*unpack(x))
+            if len(tree.n):
+                yield blob(ward(tree.sums, tree.n, near)) if last else blob(tree.sums, tree.n, tree.squares)
+
+        return run
 
     n = leaves.count()
-    while n > 1:
+    while n > fan_in:
         n = -(-n // fan_in)
-        leaves = cut(leaves.repartition(n).mapInArrow(merge, "leaves binary"))
-    got = leaves.collect()  # one row of at most max_leaves features
-    if not got:
-        return np.zeros((0, dim), np.float32)
-    sums, count = unpack(got[0].leaves)
-    return ward(sums, count, near)
+        leaves = cut(leaves.repartition(n).mapInArrow(merge(False), "leaves binary"))
+    got = leaves.repartition(1).mapInArrow(merge(True), "leaves binary").collect()  # at most fan_in bounded trees meet in the last task, one row of anchors comes back
+    return unpack(got[0].leaves)[0] if got else np.zeros((0, dim), np.float32)
 
 
 def components(u: np.ndarray, least: float) -> np.ndarray:
