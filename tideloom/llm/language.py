@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ NAMES = {
 }
 #: Labelled rows a language that the trees are fitted on, at most.
 SAMPLE_ROWS = 250
+#: How much a bit counts as evidence for a language where nothing was held out to find it.
+SCALE = 0.1
 #: Longest context in bytes.
 ORDER = 4
 #: Links, addresses, handles and tags carry no language, nor do numbers.
@@ -65,6 +68,7 @@ class ContextTrees:
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER) -> None:
         self.langs = sorted(texts)
         self.order = order
+        self.scale, self.label_noise, self.held_out = SCALE, 0.0, float("nan")
         counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
         for lang in self.langs:
             data = np.frombuffer(("\n" * order + "\n".join(f" {t} " for t in texts[lang])).encode(), dtype=np.uint8).astype(np.int64)
@@ -147,41 +151,62 @@ def fit(docs: DataFrame, doc_key: str = "doc_id", text: str = "text", label: str
     return purified(parts, order)
 
 
-def purified(parts: list[tuple[str, str]], order: int = ORDER, share: float = 0.6, repeats: int = 8) -> ContextTrees:
-    """Trees from labelled sentences whose labels may be wrong.
+def purified(parts: list[tuple[str, str]], order: int = ORDER, folds: int = 3, rounds: int = 3) -> ContextTrees:
+    """Trees from labelled sentences whose labels may be wrong, with the scale of their confidences.
 
-    Sentences of equal length that open alike are one group. A group whose occurrences, weighted by the labels' frequencies, lie under
-    one label by at least `share` keeps that label; the others, foreign sentences strewn into texts of several
-    languages, are labelled by the trees of the first and then join the fit, each group at most `repeats` times.
+    Each round fits trees on all folds but one (a text's sentences are in one fold) and rates the sentences of that one
+    by them. A sentence takes another label only if the evidence outweighs a label that is right as often as the labels
+    of the sample are; sentences whose label and evidence still disagree stay out of the fit. The held-out code lengths
+    give `scale`, by which a bit counts as evidence (bytes of a text depend on each other), and `label_noise`, the share
+    of the given labels that is explained by chance: both by maximum likelihood of the labels as given. `held_out` is
+    the share of held-out sentences rated as their given label says.
     """
     langs = sorted(LANGUAGES)
     if not parts:
         return ContextTrees({lang: [" "] for lang in langs}, order)
-    bare = [fold(letters(x)) for _, x in parts]
-    group, names = pd.factorize(pd.Series([" ".join(x.split(" ")[:2]) + f" {x.count(' ')}" for x in bare]))
-    raw = np.array([langs.index(lang) for lang, _ in parts])
-    seen = np.zeros((len(names), len(langs)))
-    np.add.at(seen, (group, raw), 1)
-    weighted = seen / np.maximum(seen.sum(axis=0, keepdims=True), 1)
-    clear = weighted.max(axis=1) >= share * weighted.sum(axis=1)
-    label = weighted.argmax(axis=1)
-
-    def build(groups: np.ndarray) -> ContextTrees:
-        texts: dict[str, list[str]] = {lang: [" "] for lang in langs}
-        used = np.zeros(len(names), int)
-        for at, g in enumerate(group):
-            if groups[g] and used[g] < repeats:  # a sentence repeated with other names teaches nothing after a few times
-                used[g] += 1
-                texts[langs[label[g]]].append(bare[at])
-        return ContextTrees(texts, order)
-
-    if not clear.all():
-        open_rows = np.nonzero(~clear[group])[0]
-        bits = build(clear).lengths([bare[at] for at in open_rows])
-        total = np.zeros((len(names), len(langs)))
-        np.add.at(total, group[open_rows], bits)
-        label = np.where(clear, label, total.argmin(axis=1))
-    return build(np.ones(len(names), bool))
+    texts = [fold(letters(x)) for _, x in parts]
+    given = np.array([langs.index(lang) for lang, _ in parts])
+    part = np.arange(len(parts)) * folds // len(parts)  # sentences of a text stand together
+
+    def build(rows: np.ndarray, label: np.ndarray) -> ContextTrees:
+        by: dict[str, list[str]] = {lang: [" "] for lang in langs}
+        for at in rows.tolist():
+            by[langs[label[at]]].append(texts[at])
+        return ContextTrees(by, order)
+
+    label, sure = given.copy(), np.ones(len(texts), bool)
+    bits = np.zeros((len(texts), len(langs)))
+    at = np.arange(len(texts))
+    for _ in range(rounds):
+        for f in range(folds):
+            rest, mine = np.nonzero((part != f) & sure)[0], np.nonzero(part == f)[0]
+            if len(rest) and len(mine):
+                bits[mine] = build(rest, label).lengths([texts[i] for i in mine.tolist()])
+        scale, noise = calibrated(bits, given)
+        best = bits.argmin(axis=1)
+        lead = scale * (bits[at, given] - bits[at, best])  # against what a label that is right this often weighs
+        given_weighs = np.log2((1 - noise) / (max(noise, 0.01) / (len(langs) - 1)))
+        label = np.where(lead > given_weighs, best, given)
+        sure = (label == best)
+    trees = build(np.nonzero(sure)[0], label)
+    trees.scale, trees.label_noise = scale, noise
+    trees.held_out = float((bits.argmin(axis=1) == given).mean())
+    return trees
+
+
+def calibrated(bits: np.ndarray, given: np.ndarray) -> tuple[float, float]:
+    """(scale, noise) of the model: a label is drawn from 2^(-scale * bits), or with chance `noise` from all languages."""
+    best = (-np.inf, SCALE, 0.0)
+    less = bits - bits.min(axis=1, keepdims=True)
+    at = np.arange(len(bits))
+    for scale in (0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5, 0.8):
+        share = np.exp2(-scale * less)
+        p = share[at, given] / share.sum(axis=1)
+        for noise in (0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4):
+            fit = float(np.log((1 - noise) * p + noise / bits.shape[1] + 1e-12).sum())
+            if fit > best[0]:
+                best = (fit, scale, noise)
+    return best[1], best[2]
 
 
 def segments(docs: DataFrame, trees: ContextTrees, doc_key: str = "doc_id", text: str = "text", min_words: int = 2) -> DataFrame:
@@ -236,8 +261,9 @@ def segments(docs: DataFrame, trees: ContextTrees, doc_key: str = "doc_id", text
         fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (best[1:] != best[:-1])])
         run_of = fresh.cumsum() - 1
         total = np.zeros((run_of[-1] + 1, bits.shape[1]))
-        np.add.at(total, run_of, blended)
-        share = 1 / np.exp2((total.min(axis=1, keepdims=True) - total) * 0.05).sum(axis=1)
+        np.add.at(total, run_of, bits)
+        rows = np.arange(len(total))
+        share = 1 / np.exp2(np.minimum((total[rows, best[fresh]][:, None] - total) * trees.scale, 60)).sum(axis=1)
         first = np.nonzero(fresh)[0]
         n = np.zeros(run_of[-1] + 1, int)
         np.add.at(n, run_of, m.n.to_numpy())
