@@ -28,16 +28,17 @@ EMAIL = re.compile(
     rf"(?<![\w.+@-])[A-Za-z0-9_][\w.+'-]*(?:{_AT}|\s@\s)(?:[\w-]+{_DOT})+[A-Za-z]{{2,}}(?![\w@])",
     re.I,
 )
-#: Words that announce an identity number; what stands between them and the number is not part of it.
+#: Words for kinds of identity numbers; what stands between them and the number is not part of it.
 _ID_LEAD = (
-    r"(?:passport|passeport|pasaporte|reisepass|ssn|social security|national insurance|insurance|\bni\b|\bnino\b|tax id|tax|taxpayer|tin|steuer-?id|steuernummer|s[ée]cu|citizen id|"
-    r"personal number|personnummer|identity|\bid\b|\bdni\b|\bnie\b|\bnif\b|\bbsn\b|codice fiscale|insured under|on file|claim filed under|registered with|the form carried|someone shared)"
+    r"(?:passport|passeport|pasaporte|reisepass|ssn|social security|national insurance|\binsur(?:ance|ed)|\bni\b|\bnino\b|tax id|tax|taxpayer|tin|steuer-?id|steuernummer|s[ée]cu|citizen id|"
+    r"personal number|personnummer|personalausweis|identity|\bid\b|\bdni\b|\bnie\b|\bnif\b|\bbsn\b|\bcpf\b|codice fiscale|driving licen[cs]e|driver'?s licen[cs]e)"
 )
 _ID_VALUE = (
     r"(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{2} \d{3} \d{3} \d{3}|\d{3} \d{2} \d{4}|\d{3} \d{6}|\d{5} \d{4}|\d{6}[-+ ]\d{4}|[A-Z]{1,2}\d{6,9}|\d{7,8}-?[A-Z]|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]|\d{8,11}|\d(?:[ .\-/]?\d){6,11})"
 )
 ID_NUMBER = re.compile(rf"{_ID_LEAD}(?:[\s:#.,]|\b(?:number|no|nr|n[°º]|num|numero|card|code|ssn|id|passport|social|security|tax|dni|ni|national|insurance|insured|under|citizen|personal|steuer-?id|s[ée]cu|is|was)\b|n[°º]|steuer-)*({_ID_VALUE})(?![\w])", re.I)
-ID_BARE = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w-])", re.I)
+#: Shapes that no other number has: US social security, UK national insurance, Spanish identity, Italian fiscal code.
+ID_BARE = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[XYZ]?\d{7,8}-?[A-Z]|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])(?![\w-])", re.I)
 PHONE = re.compile(
     r"(?<![\w.+/-])(?:"
     r"\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .\-/]?\d){6,11}"
