@@ -15,6 +15,32 @@ MODAL = ("should", "shouldn't", "shouldnt", "could", "couldn't", "couldnt", "mus
 IDENTITY_LABELS = ("ORG", "PRODUCT", "NORP", "PERSON")
 GENERIC_HEADS = ("insiders", "observers", "supporters", "fans", "critics", "skeptics", "defenders", "detractors", "pundits", "experts", "analysts", "authorities", "officials", "sources", "advisors", "lawmakers", "leaders", "members", "followers", "community", "investors")
 
+# Signal words. Verbs that count in all three forms, in two (not the plain one), and single words.
+THREE_FORMS = "surge spike hike drop pivot downgrade rally rebound soar plummet tank evacuate upgrade"
+TWO_FORMS = """boost crash plunge announce unveil launch warn claim criticize praise award approve reject veto pass vote negotiate sign report
+confirm deny reveal publish release defeat resign retire raise jump merge acquire invest double test study show prove suggest
+recommend ban legalize indict convict blame survive recover collapse close open hire fire call plan pledge promise"""
+SIGNAL_WORDS = """drives drive driving strikes struck beats wins won loses lost cuts cut falls fell sells sold buys bought grows grew
+finds found tops leads led overtakes overtook aims vows dovish hawkish news report result results update updates launch verdict
+election vote ruling proposal reform crisis scandal alert warning announcement interview analysis surveys survey ban lawsuit
+tariff agreement settlement shortage outbreak suspension ceasefire rounds round race match series tournament season winner
+record yield hawk hawks dove doves study"""
+
+
+def inflected(verb: str) -> tuple[str, str]:
+    """Third person and past of a regular verb; short ones in -p and -n double their last letter."""
+    soft = verb.endswith("y") and verb[-2] not in "aeiou"
+    third = verb[:-1] + "ies" if soft else verb + ("es" if verb.endswith(("s", "x", "z", "ch", "sh", "to")) else "s")
+    short = len(verb) <= 4 and verb[-1] in "pn" and verb[-2] in "aeiou" and verb[-3] not in "aeiou"
+    past = verb[:-1] + "ied" if soft else verb + ("d" if verb.endswith("e") else verb[-1] + "ed" if short and verb not in ("open", "sign") else "ed")
+    return third, past
+
+
+def signal_lexicon() -> list[str]:
+    """The words that show that a text reports something."""
+    forms = [f for v in (THREE_FORMS + " " + TWO_FORMS).split() for f in inflected(v)]
+    return sorted({*forms, *THREE_FORMS.split(), *SIGNAL_WORDS.split()})
+
 
 def _words(options: tuple[str, ...]) -> str:
     return rf"(?U)\b(?:{'|'.join(options)})\b"
@@ -58,13 +84,17 @@ def gate_precheck(text: Column) -> Column:
     )
 
 
-def gate(text: Column, has_entities: Column, lexicon: list[str] | None = None) -> Column:
-    """The full gate: a precheck's reason, else valid_discourse or lacks_substance. `lexicon` lists signal words."""
+def gate(text: Column, has_entities: Column, proper_nouns: Column | None = None, lexicon: list[str] | None = None) -> Column:
+    """The full gate: a precheck's reason, else valid_discourse or lacks_substance.
+
+    Entities and proper nouns come from the caller's tagger as flags; `lexicon` lists signal words (`signal_lexicon`).
+    """
+    lexicon = signal_lexicon() if lexicon is None else lexicon
     bare = strip_emoji(F.trim(text))
     low = F.lower(bare)
     signal = F.arrays_overlap(F.split(squeeze(low), " "), F.array(*[F.lit(w) for w in lexicon])) if lexicon else F.lit(False)
     marked = low.rlike(_words(DEBATE)) | low.rlike(_words(MODAL)) | low.rlike(r"#(?:breaking|news|update|alert)\b") | bare.contains("?")
-    return F.coalesce(gate_precheck(text), F.when(has_entities | marked | signal, "valid_discourse").otherwise("lacks_substance"))
+    return F.coalesce(gate_precheck(text), F.when(has_entities | marked | signal | (F.lit(False) if proper_nouns is None else proper_nouns), "valid_discourse").otherwise("lacks_substance"))
 
 
 def preview(text: Column, chars: int = 84) -> Column:

@@ -72,12 +72,6 @@ def gate_prechecks(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
-def gate_reasons(spark: SparkSession, d: str) -> DataFrame:
-    named = F.coalesce(F.size("entities"), F.lit(0)) > 0
-    return posts(spark, d, "content", "entities").select("id", tx.gate(F.col("content"), named, ["news", "report", "vote", "launch"]).alias("reason"))
-
-
 @query(f"""{WITH}, t AS (SELECT id, trim(regexp_replace(content, '{WS}+', ' ', 'g')) AS f FROM posts_once WHERE length(content) > 0)
 SELECT id, CASE WHEN length(f) <= 84 THEN f ELSE rtrim(substr(f, 1, 83)) || '…' END AS preview FROM t""")
 def previews(spark: SparkSession, d: str) -> DataFrame:
@@ -250,12 +244,6 @@ def decide_assignment(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("post_id", matching.decision(sim, runner).alias("status"), matching.margin(sim, runner).alias("margin"))
 
 
-@query()
-def assign_with_identity(spark: SparkSession, d: str) -> DataFrame:
-    p = posts(spark, d, "entities", "event_id", "deleted_at")
-    return matching.assign(_matches(spark, d), p.select(F.col("id").alias("post_id"), "entities"), matching.hub_identity(p))
-
-
 # Vectors
 
 
