@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -94,3 +96,33 @@ def to_text(v: Column | str) -> Column:
 
 def from_text(text: Column | str) -> Column:
     return F.from_json(F.when(F.length(F.trim(text)) > 0, text).otherwise("[]"), "array<double>")
+
+
+def to_binary(v: Column | str) -> Column:
+    """Big-endian 16-bit length, 16 zero bits, then 32-bit floats; null for null and empty vectors."""
+
+    @F.pandas_udf("binary")
+    def pack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([None if x is None or not len(x) else struct.pack(">HH", len(x), 0) + np.asarray(x, dtype=">f4").tobytes() for x in s], dtype=object)
+
+    return pack(F.col(v) if isinstance(v, str) else v)
+
+
+def from_binary(b: Column | str) -> Column:
+    """The vector of `to_binary`; a wrong header or length is an error, null and empty give null."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            out: list = [None] * len(s)
+            for i, x in enumerate(s):
+                if x is None or not len(x):
+                    continue
+                n, zero = struct.unpack(">HH", bytes(x[:4])) if len(x) >= 4 else (0, 1)
+                if zero or not n or len(x) != 4 + 4 * n:
+                    raise ValueError("not a packed vector")
+                out[i] = np.frombuffer(bytes(x[4:]), dtype=">f4").astype(np.float32)
+            yield pd.Series(out, dtype=object)
+
+    return unpack(F.col(b) if isinstance(b, str) else b)

@@ -63,13 +63,39 @@ def near_duplicate_fold(links: DataFrame) -> DataFrame:
     return connected_components(links).where("id <> component").select("id", F.col("component").alias("keep_id"))
 
 
-def flatten_reposts(posts: DataFrame, key: str = "id", max_hops: int = 32) -> DataFrame:
-    """`(key, repost_of_id)` with chains of reposts replaced by their last original; rings are left as they stand."""
-    links = posts.where("repost_of_id is not null").select(F.col(key).alias("k"), F.col("repost_of_id").alias("to"))
-    for _ in range(max_hops.bit_length()):
+def flatten_reposts(posts: DataFrame, key: str = "id") -> DataFrame:
+    """`(key, repost_of_id)` with chains of reposts replaced by their last original; rings are left as they stand.
+
+    Steps double until no link changes, or until only links that lead into rings still do: a link that has not ended
+    after as many steps as there are links can only be one of those.
+    """
+    links = cut(posts.where("repost_of_id is not null").select(F.col(key).alias("k"), F.col("repost_of_id").alias("to")))
+    first, n, steps = links, links.count(), 1
+    while steps <= n:
         onward = links.select(F.col("k").alias("to"), F.col("to").alias("next"))
-        links = cut(links.join(onward, "to", "left").select("k", F.when(F.col("next").isNull() | (F.col("next") == F.col("k")), F.col("to")).otherwise(F.col("next")).alias("to")))
-    return links.select(F.col("k").alias(key), F.col("to").alias("repost_of_id"))
+        step = cut(links.join(onward, "to", "left").select("k", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("more")))
+        links, steps = step.select("k", "to"), steps * 2
+        if step.where("more").isEmpty():
+            return links.select(F.col("k").alias(key), F.col("to").alias("repost_of_id"))
+    ended = links.join(first.select(F.col("k").alias("to")), "to", "left_anti").select("k", F.col("to").alias("__end"))
+    return first.join(ended, "k", "left").select(F.col("k").alias(key), F.coalesce("__end", "to").alias("repost_of_id"))
+
+
+def fold_hubs(posts: DataFrame, dim: int | None = None, most: int = 400) -> DataFrame:
+    """Posts after folding: exact copies, then, with `dim`, near copies in hubs of 2 to `most` canonicals, then chains
+    to their last original. A post that another one stands for is a repost of it and keeps its hub."""
+    def marked(rows: DataFrame, found: DataFrame) -> DataFrame:
+        keep = found.select("id", F.col("keep_id").alias("__keep"))
+        hit = F.col("__keep").isNotNull()
+        value = {"repost_of_id": F.coalesce("__keep", "repost_of_id"), "assignment_status": F.when(hit, "repost").otherwise(F.col("assignment_status"))}
+        return cut(rows.join(keep, "id", "left").select(*[value.get(c, F.col(c)).alias(c) for c in rows.columns]))
+
+    out = marked(posts, exact_fold(posts))
+    if dim is not None:
+        few = near_duplicate_hubs(out, 2, most).select("event_id")
+        out = marked(out, near_duplicate_fold(near_duplicate_links(canonical(out).join(few, "event_id", "left_semi"), dim)))
+    flat = flatten_reposts(out).select("id", F.col("repost_of_id").alias("__last"))
+    return out.join(flat, "id", "left").select(*[F.coalesce("__last", "repost_of_id").alias(c) if c == "repost_of_id" else F.col(c) for c in out.columns])
 
 
 def hub_counts(posts: DataFrame) -> DataFrame:
@@ -96,5 +122,3 @@ def near_duplicate_hubs(posts: DataFrame, low: int = 2, high: int = 400) -> Data
     rows = canonical(posts).where("event_id is not null and embedding is not null")
     return rows.groupBy("event_id").agg(F.count("*").alias("n")).where(F.col("n").between(low, high))
 
-
-__all__ = ["canonical", "drifted_counts", "exact_fold", "flatten_reposts", "foldable_hubs", "hub_counts", "near_duplicate_fold", "near_duplicate_hubs", "near_duplicate_links"]

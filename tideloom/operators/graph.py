@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tideloom.runtime import cut, drop_cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """`edges(src long, dst long)` -> `(id, component)`, `component` the smallest id reached.
 
     Ids that occur in no edge are not returned; self links and repeated links are harmless. Each round joins nothing
     but pre-aggregates by key, so a hub that holds a third of all links is combined before the shuffle. Rounds grow
-    with the logarithm of the diameter. Null ends are dropped.
+    with the logarithm of the diameter; if links still move after `max_rounds`, an error is raised. Null ends are dropped.
     """
     links = (
         edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
@@ -37,8 +37,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         drop_cut(links)
         links = done
         now = links.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi") % 1_000_003)).first()
-        if seen == now:
+        if seen == now or not now[0]:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = links.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id")
     return nodes.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

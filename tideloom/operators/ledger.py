@@ -90,6 +90,19 @@ def lease(outbox: DataFrame, as_of: datetime | str, consumer: str, token: str, l
         F.when(mine, t + F.make_dt_interval(secs=F.lit(lease_minutes * 60))).otherwise(F.col("lease_until")).alias("lease_until"))
 
 
+def numbered_names(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Add `handle`: the name for the first row of a name, then `-2`, `-3` and on, leaving out numbers with which another
+    name is spelled; handles are distinct."""
+    first = rows.select(F.col(name).alias("__other")).distinct()
+    # Names that end in a number reserve it for the name before.
+    split = first.select(F.regexp_extract("__other", r"^(.*)-(\d{1,9})$", 1).alias(name), F.regexp_extract("__other", r"^(.*)-(\d{1,9})$", 2).alias("k")).where(F.length("k") > 0).where(~F.col("k").startswith("0"))
+    taken = split.groupBy(name).agg(F.sort_array(F.collect_set(F.col("k").cast("long"))).alias("__taken"))
+    n = F.row_number().over(Window.partitionBy(name).orderBy(key)).cast("long")
+    placed = rows.withColumn("__n", n).join(taken, name, "left")
+    number = F.aggregate(F.filter(F.coalesce("__taken", F.array().cast("array<long>")), lambda x: x > 1), F.col("__n"), lambda v, r: F.when(r <= v, v + 1).otherwise(v))
+    return placed.withColumn("handle", F.when(F.col("__n") == 1, F.col(name)).otherwise(F.concat(name, F.lit("-"), number.cast("string")))).drop("__n", "__taken")
+
+
 def state_diff(rows: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """`(key, field, change, old, new)` between two JSON objects: added, removed or changed top-level fields."""
     maps = rows.select(key, *[F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>")).alias(n) for c, n in ((before, "b"), (after, "a"))])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,13 @@ from pyspark.sql import functions as F
 
 from tideloom.config import DEFAULT, Config
 from tideloom.functions.text import identity_tokens
+from tideloom.operators.graph import connected_components
+from tideloom.runtime import cut
 
 #: Hubs whose vectors a task holds at once.
 BLOCK = 4_096
+#: Hubs of one user that are paired with another block of them in one group.
+VOICE_BLOCK = 512
 
 
 def canonical_hub(hubs: DataFrame, max_hops: int = 5) -> DataFrame:
@@ -51,8 +56,8 @@ def merge_candidates(hubs: DataFrame, dim: int, floor: float = DEFAULT.merge_ent
         lean = lean.where("t is not null").withColumn("w", F.floor(F.col("t") / span))
         spread = lean.select("*", F.explode(F.array(F.col("w"), F.col("w") - 1)).alias("win"))
     sizes = spread.groupBy("win").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
-    cut = spread.join(sizes, "win").withColumn("b", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("win", F.least("b", "o").alias("left"), F.greatest("b", "o").alias("right"), "b", "k", "m", "t", "w", "v")
+    blocks = spread.join(sizes, "win").withColumn("b", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("win", F.least("b", "o").alias("left"), F.greatest("b", "o").alias("right"), "b", "k", "m", "t", "w", "v")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.array(pdf.v.tolist(), dtype=np.float64)
@@ -71,7 +76,7 @@ def merge_candidates(hubs: DataFrame, dim: int, floor: float = DEFAULT.merge_ent
         first = (m[p] > m[q]) | ((m[p] == m[q]) & (k[p] < k[q]))
         return pd.DataFrame({"a": np.where(first, k[p], k[q]), "b": np.where(first, k[q], k[p]), "sim": sim})
 
-    return cut.groupBy("win", "left", "right").applyInPandas(pairs, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return blocks.groupBy("win", "left", "right").applyInPandas(pairs, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
 def judge(sim: Column, orgs_a: Column, identity_a: Column, orgs_b: Column, identity_b: Column, cfg: Config = DEFAULT) -> Column:
@@ -95,13 +100,13 @@ def judged_pairs(pairs: DataFrame, tokens: DataFrame, cfg: Config = DEFAULT) ->
 
 
 def greedy_merges(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """`(source_id, target_id)` of one pass over the approved pairs in rank order (members descending, then id).
+    """`(source_id, target_id, step)` of one pass over the approved pairs in rank order (members descending, then id).
 
-    A hub merged away takes no further part; the larger of a pair survives, of equals the later in rank. Pairs that
-    share no hub, even through others, cannot affect each other, so each component of pairs is one task.
+    The larger hub of a pair survives, of equals the later in rank, by the counts at the start of the pass. A hub that
+    was merged away opens no further pairs and is no second side; one that is merged away while it stands first goes on
+    through the hub it became part of. Pairs that share no hub, even through others, cannot affect each other, so each
+    component of pairs is one task; steps count within a component.
     """
-    from tideloom.operators.graph import connected_components
-
     size = members.select(F.col("id").alias("h"), F.coalesce("member_count", F.lit(0)).cast("long").alias("m"))
     rows = pairs.select("a", "b").join(size.select(F.col("h").alias("a"), F.col("m").alias("ma")), "a").join(size.select(F.col("h").alias("b"), F.col("m").alias("mb")), "b")
     part = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"id": "a"})
@@ -109,20 +114,93 @@ def greedy_merges(pairs: DataFrame, members: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         count = dict(zip(pdf.a, pdf.ma)) | dict(zip(pdf.b, pdf.mb))
         rank = {h: i for i, h in enumerate(sorted(count, key=lambda h: (-count[h], h)))}
-        todo = sorted(((min(rank[a], rank[b]), max(rank[a], rank[b])) for a, b in zip(pdf.a, pdf.b)))
-        name = {i: h for h, i in rank.items()}
-        gone: set[int] = set()
+        partners: dict[int, list[int]] = {}
+        for a, b in zip(pdf.a, pdf.b):
+            first, second = (a, b) if rank[a] < rank[b] else (b, a)
+            partners.setdefault(first, []).append(second)
+        into: dict[int, int] = {}
+        away: set[int] = set()
         out = []
-        for i, j in todo:
-            if i in gone or j in gone:
+        for first in sorted(partners, key=rank.get):
+            if first in away:
                 continue
-            source, target = (j, i) if count[name[i]] > count[name[j]] else (i, j)
-            gone.add(source)
-            count[name[target]] += count[name[source]]
-            out.append((name[source], name[target]))
-        return pd.DataFrame(out, columns=["source_id", "target_id"])
-
-    return rows.join(part, "a").groupBy("component").applyInPandas(run, "source_id long, target_id long")
+            for second in sorted(partners[first], key=rank.get):
+                if second in away:
+                    continue
+                loser, winner = (second, first) if count[first] > count[second] else (first, second)
+                ends = []
+                for h in (loser, winner):
+                    while h in into:
+                        h = into[h]
+                    ends.append(h)
+                if ends[0] != ends[1]:
+                    into[ends[0]] = ends[1]
+                    away.add(loser)
+                    out.append((*ends, len(out)))
+        return pd.DataFrame(out, columns=["source_id", "target_id", "step"])
+
+    return rows.join(part, "a").groupBy("component").applyInPandas(run, "source_id long, target_id long, step long")
+
+
+def merge_to_fixpoint(posts: DataFrame, hubs: DataFrame, dim: int, at: datetime | str, fresh_hours: float = DEFAULT.hub_freshness_hours, gap_hours: float | None = DEFAULT.merge_gap_hours, max_rounds: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(posts, hubs, merges `(round, source_id, target_id)`) of passes repeated until one merges nothing.
+
+    A pass moves centroids, so the next may find pairs that it could not see. Each pass takes active hubs updated within
+    `fresh_hours` before `at`; a chain of merges within a pass is applied to its last hub.
+    """
+    from tideloom.operators.corrections import apply_merges
+
+    done = posts.sparkSession.createDataFrame([], "round int, source_id long, target_id long")
+    for n in range(max_rounds):
+        near = hubs.where(F.col("last_updated_at") >= F.lit(at).cast("timestamp") - F.make_dt_interval(secs=F.lit(fresh_hours * 3600.0)))
+        found = cut(greedy_merges(cut(judged_pairs(merge_candidates(near, dim, gap_hours=gap_hours), dominant_tokens(posts))).where("merge"), hubs))
+        if found.isEmpty():
+            break
+        last = found.select("source_id", "target_id")
+        while True:  # follow chains to their last hub
+            onward = last.join(found.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("__next")), "target_id", "left")
+            moved = cut(onward.select("source_id", F.coalesce("__next", "target_id").alias("target_id"), F.col("__next").isNotNull().alias("more")))
+            last = moved.select("source_id", "target_id")
+            if moved.where("more").isEmpty():
+                break
+        after = apply_merges(posts, hubs, last, at)
+        posts, hubs = cut(after[0]), cut(after[1])
+        done = done.union(last.select(F.lit(n).alias("round"), "source_id", "target_id"))
+    return posts, hubs, done
+
+
+# Tickers by the first word of a name, and words without meaning for a codename.
+TICKERS = {
+    "aws": "AWS", "amazon": "AWS", "fed": "FED", "federal": "FED", "microsoft": "MSFT", "apple": "AAPL", "google": "GOOG", "meta": "META", "openai": "OPENAI", "nvidia": "NVDA", "tesla": "TSLA", "spacex": "SPACEX",
+    "barcelona": "BAR", "fc": "BAR", "nasa": "NASA", "nato": "NATO", "opec": "OPEC", "un": "UN", "eu": "EU", "who": "WHO", "fedex": "FDX", "barclays": "BARC", "musk": "MUSK", "trump": "TRUMP", "putin": "PUTIN", "zelensky": "ZEL", "netflix": "NFLX", "spotify": "SPOT", "uber": "UBER",
+}
+CODENAME_STOP = """a an the in on at by of to for and or not its it is are was were be been being that this these those with over under as from into upon amid
+after before has have had can could will would shall should may might us new major minor report reports reported say says said seeing today yesterday early
+late expected continues continued start starts began begin plans plan sees watch aftermath weeks month year another first second third one two three every
+any all due ahead again enough more among against during set warns warn jumps jump soars soar rises rise falls fall fell drops drop double triple back stage
+while via using used use make makes made take takes took secured dramatic victory completes"""
+
+
+def codename(handle: Column, title: Column, hub_id: Column) -> Column:
+    """A short name of a hub: the ticker or first six letters of its first telling word, and a second word if there is
+    room; 17 characters at most."""
+    text = F.regexp_replace(F.lower(F.when(F.length(handle) > 0, handle).otherwise(F.coalesce(title, F.lit("")))), "_", "-")
+    words = F.filter(F.split(text, "-"), lambda w: w != "")
+    stop = F.array(*[F.lit(w) for w in CODENAME_STOP.split()])
+    telling = F.filter(words, lambda w: ~F.array_contains(stop, w))
+    kept = F.when(F.size(telling) > 0, telling).otherwise(words)
+    head = F.get(kept, F.lit(0))
+    tickers = F.create_map(*[F.lit(x) for pair in TICKERS.items() for x in pair])
+    root = F.coalesce(F.element_at(tickers, head), F.upper(F.substring(head, 1, 6)), F.concat(F.lit("HUB"), hub_id.cast("string")))
+    suffix = F.get(F.filter(F.slice(kept, 2, 1_000), lambda w: (F.length(w) <= 7) & ~w.rlike(r"^[0-9_.-]+$")), F.lit(0))
+    return F.substring(F.when((F.length(root) < 6) & suffix.isNotNull(), F.concat(root, F.lit("-"), F.upper(suffix))).otherwise(root), 1, 17)
+
+
+def codenames(hubs: DataFrame) -> DataFrame:
+    """`(id, codename)`: codenames by order of creation, later ones of the same name with their id appended."""
+    rows = hubs.select("id", "created_at", codename(F.col("handle"), F.col("title"), F.col("id")).alias("__code"))
+    again = F.row_number().over(Window.partitionBy("__code").orderBy("created_at", "id")) > 1
+    return rows.select("id", F.when(again, F.concat("__code", F.lit("-"), F.col("id").cast("string"))).otherwise(F.col("__code")).alias("codename"))
 
 
 def birth_edges(hubs: DataFrame) -> DataFrame:
@@ -140,25 +218,26 @@ def birth_edges(hubs: DataFrame) -> DataFrame:
 def voice_edges(posts: DataFrame, most_hubs: int | None = None) -> DataFrame:
     """`(src, dst, users)`: users with live posts in both hubs, `src < dst`.
 
-    Each user's distinct hubs are paired within the user's own row; `most_hubs` optionally leaves out users in more hubs
-    than that (off by default).
+    `most_hubs` optionally leaves out users in more hubs than that (off by default).
     """
-    own = posts.where("deleted_at is null and event_id is not null and user_id is not null").groupBy("user_id").agg(F.sort_array(F.collect_set("event_id")).alias("hubs")).where("size(hubs) > 1")
+    own = cut(posts.where("deleted_at is null and event_id is not null and user_id is not null").select("user_id", "event_id").distinct())
     if most_hubs:
-        own = own.where(F.size("hubs") <= most_hubs)
-    pairs = own.select(F.posexplode("hubs").alias("i", "src"), "hubs").select("src", F.explode(F.expr("slice(hubs, i + 2, size(hubs))")).alias("dst"))
+        own = own.join(own.groupBy("user_id").count().where(F.col("count") <= most_hubs).select("user_id"), "user_id", "left_semi")
+    # Each user's hubs are cut into blocks; a pair of blocks is one group, so no user is gathered into one row.
+    sizes = own.groupBy("user_id").agg(F.ceil(F.count("*") / F.lit(VOICE_BLOCK)).cast("int").alias("parts"))
+    placed = own.join(sizes, "user_id").withColumn("b", F.pmod(F.xxhash64("event_id"), F.col("parts")).cast("int"))
+    left = placed.select("user_id", F.col("b").alias("b1"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b2"), F.col("event_id").alias("src"))
+    right = placed.select("user_id", F.col("b").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b1"), F.col("event_id").alias("dst"))
+    pairs = left.join(right, ["user_id", "b1", "b2"]).where("src < dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("users"))
 
 
 def hub_graph(birth: DataFrame, similar: DataFrame, voice: DataFrame) -> DataFrame:
     """`(src, dst, kind, weight)`: one edge a pair, birth before similar before voice; weights within [0.05, 1]."""
     both = (
-        birth.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(0).alias("p"), F.lit("birth").alias("kind"), F.lit(0.5).alias("w"))
+        birth.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.lit(0).alias("p"), F.lit("birth").alias("kind"), F.lit(1.0).alias("w"))
         .union(similar.select(F.least("a", "b"), F.greatest("a", "b"), F.lit(1), F.lit("similar"), F.col("sim")))
         .union(voice.select("src", "dst", F.lit(2), F.lit("voice"), F.least(F.col("users"), F.lit(8)).cast("double")))
     )
     best = both.groupBy("src", "dst").agg(F.min(F.struct("p", "kind", "w")).alias("b"))
     return best.select("src", "dst", "b.kind", F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.col("b.w"))), 3).alias("weight"))
-
-
-__all__ = ["birth_edges", "canonical_hub", "dominant_tokens", "greedy_merges", "hub_graph", "judge", "judged_pairs", "merge_candidates", "voice_edges"]

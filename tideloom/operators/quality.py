@@ -42,6 +42,17 @@ def latest_labels(feedback: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(last)).where("r = 1").select("post_id", "label", *versions())
 
 
+def labels_of(feedback: DataFrame, policy: str, model: str) -> DataFrame:
+    """`(post_id, label)` of one policy and model: the post's last judgement is taken first, its versions are asked after."""
+    return latest_labels(feedback).where((F.col("policy_version") == policy) & (F.col("model_version") == model)).select("post_id", "label")
+
+
+def pairwise_accuracy(rows: DataFrame, positive: str = "positive", negative: str = "negative") -> DataFrame:
+    """`(precision, recall)`: the share of rows whose positive similarity exceeds, or reaches, the negative; 1 without rows."""
+    share = lambda ok: F.coalesce(F.avg(ok.cast("double")), F.lit(1.0))
+    return rows.agg(share(F.col(positive) > F.col(negative)).alias("precision"), share(F.col(positive) >= F.col(negative)).alias("recall"))
+
+
 def labelled(feedback: DataFrame, decisions: DataFrame) -> DataFrame:
     """Latest labels with the similarity of every assigned decision of the post (a post decided twice counts twice)."""
     sims = decisions.where("status = 'assigned' and similarity is not null").select("post_id", "similarity")

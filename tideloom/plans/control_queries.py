@@ -472,14 +472,16 @@ def audited_sources(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").cast("string").alias("event_key"), "platform", "status", "similarity")
 
 
-@query(f"{WITH}, h AS (SELECT id AS hub FROM hubs_once WHERE len(centroid) = {DIM} ORDER BY id LIMIT 1), c AS (SELECT centroid FROM hubs_once, h WHERE id = hub) SELECT p.id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(centroid AS DOUBLE[])), 6) AS similarity FROM posts_once p, h, c WHERE p.event_id = hub AND len(embedding) = {DIM} AND list_aggregate(embedding, 'max') > 0")
+@query(f"{WITH}, h AS (SELECT min(event_id) AS hub FROM posts_once WHERE event_id IN (SELECT id FROM hubs_once WHERE len(centroid) = {DIM})), c AS (SELECT centroid FROM hubs_once, h WHERE id = hub) SELECT p.id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(centroid AS DOUBLE[])), 6) AS similarity FROM posts_once p, h, c WHERE p.event_id = hub AND len(embedding) = {DIM} AND list_aggregate(embedding, 'max') > 0")
 def centroid_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The posts of one hub against its centroid: a point read joined to one row."""
     from tideloom.functions import vectors as vx
 
     usable = hubs(spark, d).where(F.size("centroid") == DIM)
-    one = usable.orderBy("id").limit(1).select(F.col("id").alias("event_id"), "centroid")
-    rows = posts(spark, d, "event_id", "embedding").where(F.size("embedding") == DIM).join(F.broadcast(one), "event_id")
+    p = posts(spark, d, "event_id", "embedding")
+    least = p.join(usable.select(F.col("id").alias("event_id")), "event_id", "left_semi").agg(F.min("event_id").alias("event_id"))
+    one = usable.select(F.col("id").alias("event_id"), "centroid").join(F.broadcast(least), "event_id")
+    rows = p.where(F.size("embedding") == DIM).join(F.broadcast(one), "event_id")
     return rows.select("id", F.round(vx.cosine(F.col("embedding"), F.col("centroid")), 6).alias("similarity")).where("similarity is not null")
 
 

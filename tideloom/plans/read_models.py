@@ -72,19 +72,29 @@ def last_decisions(decisions: DataFrame) -> DataFrame:
 
 
 def training_pairs(feedback: DataFrame, posts: DataFrame) -> DataFrame:
-    """`(post_id, event_id, label, positive_id, negative_id, holdout)`: judged posts with a sibling of the same hub and a
-    post of the hub that was judged not to belong, chosen by hash order, and a stable split."""
-    live = posts.where("deleted_at is null").select("id", "event_id")
-    label = F.when(F.col("feedback_type") == "user_confirmed", "confirmed").when(F.col("feedback_type") == "user_removed", "removed")
-    judged = feedback.select("post_id", "event_id", label.alias("label")).where("label is not null and event_id is not null").distinct()
-    anchors = judged.where("label = 'confirmed'").join(live.select(F.col("id").alias("post_id")), "post_id", "left_semi")
-    pick = lambda rows, name: rows.groupBy("event_id").agg(F.sort_array(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("id").alias("h"), "id"))), 1, 2)).alias(name))
+    """`(post_id, event_id, anchor, positive_id, positive, negative_id, negative, holdout)`: confirmed posts with text, a
+    sibling of the same hub and a negative, by the smallest id, and a split by the post.
+
+    The sibling is another post of the hub with text, or the anchor itself where there is none. The negative is a post
+    that was removed from the same hub, else a removed post that sits in another hub. A post is on one side of the split
+    whatever its judgements.
+    """
+    texts = posts.where("content is not null").select("id", "event_id", "content")
+    judged = feedback.where("event_id is not null and post_id is not null").select("post_id", "event_id", "feedback_type")
+    anchors = judged.where("feedback_type = 'user_confirmed'").select("post_id", "event_id").distinct().join(texts.select(F.col("id").alias("post_id"), F.col("content").alias("anchor")), "post_id")
     # Two candidates a hub are enough: one of them is not the anchor.
-    w = Window.partitionBy("event_id").orderBy(F.xxhash64("id"), "id")
-    few = live.where("event_id is not null").withColumn("r", F.row_number().over(w)).where("r <= 2").select("event_id", "id")
-    siblings = pick(few, "own")
-    removed = judged.where("label = 'removed'").select("event_id", F.col("post_id").alias("id"))
-    negatives = removed.withColumn("r", F.row_number().over(w)).where("r = 1").select("event_id", F.col("id").alias("negative_id"))
-    rows = anchors.join(siblings, "event_id", "left").join(negatives, "event_id", "left")
-    other = F.filter("own", lambda x: x["id"] != F.col("post_id"))
-    return rows.select("post_id", "event_id", F.get(other, F.lit(0))["id"].alias("positive_id"), "negative_id", (F.pmod(F.xxhash64("post_id"), F.lit(5)) == 0).alias("holdout"))
+    few = texts.where("event_id is not null").withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy("id"))).where("r <= 2")
+    pair = few.groupBy("event_id").agg(F.min_by(F.struct("id", "content"), "r").alias("one"), F.max_by(F.struct("id", "content"), "r").alias("two"))
+    removed = judged.where("feedback_type = 'user_removed'").select(F.col("post_id").alias("id"), "event_id").distinct().join(texts.select("id", "content", F.col("event_id").alias("now")), "id")
+    own = removed.groupBy("event_id").agg(F.min(F.struct("id", "content")).alias("hard"))
+    # Of the removed posts that sit in a hub, the two of smallest id in different hubs serve every hub.
+    seated = removed.where("now is not null").groupBy("now").agg(F.min(F.struct("id", "content")).alias("p")).select("now", "p")
+    two = seated.orderBy("p.id").limit(2).agg(F.sort_array(F.collect_list(F.struct("p", "now"))).alias("far"))  # two rows
+    rows = anchors.join(pair, "event_id", "left").join(own, "event_id", "left").crossJoin(F.broadcast(two))
+    same = F.col("one.id") == F.col("post_id")
+    other = F.when(~same, F.col("one")).when(F.col("two.id") != F.col("post_id"), F.col("two"))
+    far = F.get(F.filter("far", lambda x: x["now"] != F.col("event_id")), F.lit(0))["p"]
+    negative = F.coalesce("hard", far)
+    return rows.select(
+        "post_id", "event_id", "anchor", F.coalesce(other["id"], F.col("post_id")).alias("positive_id"), F.coalesce(other["content"], F.col("anchor")).alias("positive"), negative["id"].alias("negative_id"), negative["content"].alias("negative"),
+        (F.pmod(F.crc32(F.col("post_id").cast("string")), F.lit(5)) == 0).alias("holdout"))

@@ -78,15 +78,14 @@ def previews(spark: SparkSession, d: str) -> DataFrame:
     return posts(spark, d, "content").where("length(content) > 0").select("id", tx.preview(F.col("content")).alias("preview"))
 
 
-@query(f"""{WITH}, s AS (SELECT id, regexp_replace(substr(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64), '-+$', '') AS s FROM hubs_once)
-SELECT id, h || CASE WHEN r > 1 THEN '-' || CAST(r AS VARCHAR) ELSE '' END AS handle FROM (SELECT id, h, row_number() OVER (PARTITION BY h ORDER BY id) AS r FROM (SELECT id, CASE WHEN s = '' THEN 'hub-' || CAST(id AS VARCHAR) ELSE s END AS h FROM s))""")
+@query(f"""{WITH}, s AS (SELECT id, regexp_replace(substr(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64), '-+$', '') AS s FROM hubs_once), b AS (SELECT id, CASE WHEN s = '' THEN 'hub-' || CAST(id AS VARCHAR) ELSE s END AS h FROM s),
+t AS (SELECT regexp_extract(h, '^(.*)-([1-9][0-9]{{0,8}})$', 1) AS h, list(DISTINCT CAST(regexp_extract(h, '^(.*)-([1-9][0-9]{{0,8}})$', 2) AS BIGINT)) AS ks FROM b WHERE regexp_matches(h, '-[1-9][0-9]{{0,8}}$') GROUP BY 1),
+r AS (SELECT id, b.h, row_number() OVER (PARTITION BY b.h ORDER BY id) AS n, coalesce(ks, []) AS ks FROM b LEFT JOIN t ON t.h = b.h)
+SELECT id, CASE WHEN n = 1 THEN h ELSE h || '-' || CAST(list_filter(range(2, n + len(ks) + 2), lambda x: NOT list_contains(ks, x))[n - 1] AS VARCHAR) END AS handle FROM r""")
 def hub_handles(spark: SparkSession, d: str) -> DataFrame:
-    """Handles from titles, numbered from -2 within one base."""
-    from pyspark.sql import Window
-
+    """Handles from titles, numbered from -2 within one base, distinct over all."""
     base = hubs(spark, d).select("id", tx.slug(F.col("title"), F.concat(F.lit("hub-"), F.col("id").cast("string"))).alias("base"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("id"))
-    return base.select("id", F.concat("base", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise("")).alias("handle"))
+    return ledger.numbered_names(base, "id", "base").select("id", "handle")
 
 
 _TOKENS = f"""tokens AS (SELECT DISTINCT id, event_id, deleted_at, split_part(e, ':', 1) || ':' || v AS token FROM (SELECT id, event_id, deleted_at, e, lower(trim(substr(e, strpos(e, ':') + 1))) AS v FROM (SELECT id, event_id, deleted_at, unnest(entities) AS e FROM posts_once))
@@ -213,11 +212,30 @@ def near_duplicate_links(spark: SparkSession, d: str) -> DataFrame:
     return folding.near_duplicate_links(folding.canonical(_usable(spark, d)), DIM).select("src", "dst")
 
 
-@query()
+@query(f"""{WITH}, {_VECS}, l AS (SELECT a.id AS u, b.id AS w FROM vecs a JOIN vecs b ON a.event_id = b.event_id AND a.id <> b.id WHERE {_COS} >= 0.98),
+ reach AS (SELECT DISTINCT u AS root, u AS node FROM l UNION SELECT r.root, l.w FROM reach r JOIN l ON l.u = r.node), low AS (SELECT node AS id, min(root) AS keep_id FROM reach GROUP BY 1) SELECT id, keep_id FROM low WHERE id <> keep_id""")
 def near_duplicate_fold(spark: SparkSession, d: str) -> DataFrame:
     return folding.near_duplicate_fold(folding.near_duplicate_links(folding.canonical(_usable(spark, d)), DIM))
 
 
+_FLAT = f"""keepers AS (SELECT own.id, keep_id FROM (SELECT id, event_id, content_sig FROM posts_once WHERE {OWN} AND event_id IS NOT NULL AND content_sig <> 0) own JOIN (SELECT event_id, content_sig, min(id) AS keep_id FROM (SELECT id, event_id, content_sig FROM posts_once WHERE {OWN} AND event_id IS NOT NULL AND content_sig <> 0
+ UNION SELECT r.repost_of_id, r.event_id, r.content_sig FROM posts_once r JOIN posts_once c ON c.id = r.repost_of_id AND c.event_id = r.event_id AND c.deleted_at IS NULL AND c.repost_of_id IS NULL WHERE r.deleted_at IS NULL AND r.event_id IS NOT NULL AND r.content_sig <> 0) GROUP BY 1, 2) k USING (event_id, content_sig) WHERE own.id <> keep_id),
+ folded AS (SELECT p.id, coalesce(keep_id, repost_of_id) AS o, CASE WHEN keep_id IS NULL THEN assignment_status ELSE 'repost' END AS st FROM posts_once p LEFT JOIN keepers k ON k.id = p.id),
+ walk AS (SELECT id, o, 1 AS n FROM folded WHERE o IS NOT NULL UNION ALL SELECT w.id, f.o, w.n + 1 FROM walk w JOIN folded f ON f.id = w.o WHERE f.o IS NOT NULL AND w.n < 40)"""
+
+
+@query(f"{WITH}, {_FLAT} SELECT f.id, st AS assignment_status, w.o AS repost_of_id FROM folded f LEFT JOIN (SELECT id, arg_max(o, n) AS o FROM walk GROUP BY 1) w ON w.id = f.id")
+def folded_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact copies folded in every hub, chains of reposts led to their last original."""
+    return folding.fold_hubs(posts(spark, d, "event_id", "deleted_at", "repost_of_id", "content_sig", "assignment_status")).select("id", "assignment_status", "repost_of_id")
+
+
+@query()
+def folded_near_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Exact and near copies folded; the near ones in hubs of 2 to 400 canonicals."""
+    return folding.fold_hubs(posts(spark, d, "event_id", "deleted_at", "repost_of_id", "content_sig", "assignment_status", "embedding"), DIM).where("repost_of_id is not null").select("id", "repost_of_id")
+
+
 # Matching
 
 
@@ -248,11 +266,12 @@ def decide_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{WITH}, e AS (SELECT event_id, unnest(range(1, {DIM + 1})) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM posts_once WHERE {OWN} AND event_id IS NOT NULL AND len(embedding) = {DIM})
-SELECT event_id, max(n) AS n, round(sqrt(sum(m * m)), 5) AS length FROM (SELECT event_id, i, count(*) AS n, avg(x) AS m FROM e GROUP BY 1, 2) GROUP BY 1""")
+SELECT event_id, i, n, round(m, 6) + 0.0 AS mean FROM (SELECT event_id, CAST(i AS INTEGER) AS i, count(*) AS n, avg(x) AS m FROM e GROUP BY 1, 2)""")
 def hub_centroids(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry of every hub's mean vector."""
     rows = folding.canonical(_usable(spark, d)).where("event_id is not null")
     sums = vx.vector_sums(rows, "event_id", "embedding", DIM)
-    return sums.select("event_id", "n", F.round(vx.norm(F.transform("sums", lambda x: x / F.col("n"))), 5).alias("length"))
+    return sums.select("event_id", "n", F.posexplode("sums").alias("p", "s")).select("event_id", (F.col("p") + 1).alias("i"), "n", (F.round(F.col("s") / F.col("n"), 6) + 0.0).alias("mean"))
 
 
 @query(f"""{WITH}, {_VECS}, u AS (SELECT event_id, unnest(range(1, {DIM + 1})) AS i, unnest(list_transform(CAST(v AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))))) AS x FROM vecs WHERE event_id IS NOT NULL)
@@ -262,23 +281,29 @@ def hub_cohesion(spark: SparkSession, d: str) -> DataFrame:
     return birth.cohesion(rows, "event_id", "embedding", DIM).select("event_id", F.round("cohesion", 6).alias("cohesion"))
 
 
-@query()
+@query(f"""{WITH}, m AS (SELECT event_id AS id, i, count(*) AS k, sum(x) AS s FROM (SELECT event_id, unnest(range(1, {DIM + 1})) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM posts_once WHERE {OWN} AND event_id IS NOT NULL AND len(embedding) = {DIM} AND assignment_confidence >= 0.68) GROUP BY 1, 2),
+ h AS (SELECT h.id, h.member_count, s.embedding AS seed, unnest(range(1, {DIM + 1})) AS i, unnest(CAST(centroid AS DOUBLE[])) AS c, unnest(CASE WHEN len(s.embedding) = {DIM} THEN CAST(s.embedding AS DOUBLE[]) ELSE list_transform(range(1, {DIM + 1}), lambda x: NULL::DOUBLE) END) AS a FROM hubs_once h LEFT JOIN posts_once s ON s.id = h.seed_post_id WHERE len(centroid) = {DIM}),
+ r AS (SELECT id, i, c, k, a, (c * w + s) / (w + k) AS roll FROM (SELECT *, least(CASE WHEN coalesce(member_count, 0) = 0 THEN 1 ELSE member_count END, 150) AS w FROM h JOIN m USING (id, i))),
+ n AS (SELECT id, i, c, k, CASE WHEN a IS NULL THEN roll ELSE 0.35 * a + 0.65 * roll END AS v FROM r)
+SELECT id, max(k) AS added, round(sum(c * v) / (sqrt(sum(c * c)) * sqrt(sum(v * v))), 6) AS kept, round(sum(v * (i % 7)) / sqrt(sum(v * v)), 3) AS weighted FROM n GROUP BY 1""")
 def moved_centroids(spark: SparkSession, d: str) -> DataFrame:
-    """Rolling centroids of the hubs after their confident members, blended with the seed post's vector."""
+    """Rolling centroids of the hubs after their confident members, blended with the seed post's vector: how near they
+    stay to the old ones, and a weighted sum of their entries."""
     rows = _usable(spark, d, "assignment_confidence").where("event_id is not null and assignment_confidence >= 0.68 and repost_of_id is null and deleted_at is null")
     added = vx.vector_sums(rows, "event_id", "embedding", DIM).withColumnsRenamed({"event_id": "id", "n": "added"})
     seeds = _usable(spark, d).select(F.col("id").alias("seed_post_id"), F.col("embedding").alias("anchor"))
     h = hubs(spark, d).select("id", "centroid", "member_count", "seed_post_id").where(f"size(centroid) = {DIM}").join(added, "id").join(seeds, "seed_post_id", "left")
     rolled = h.withColumn("rolled", vx.rolling("centroid", "member_count", "sums", "added"))
-    new = F.when(F.col("anchor").isNotNull(), vx.blend("anchor", "rolled")).otherwise(vx.normalize("rolled"))
-    return rolled.select("id", "added", F.round(vx.cosine(F.col("centroid"), new), 6).alias("kept"))
+    new = rolled.withColumn("new", F.when(F.col("anchor").isNotNull(), vx.blend("anchor", "rolled")).otherwise(vx.normalize("rolled")))
+    sevens = F.transform(F.sequence(F.lit(1), F.lit(DIM)), lambda i: (i % 7).cast("double"))
+    return new.select("id", "added", F.round(vx.cosine(F.col("centroid"), F.col("new")), 6).alias("kept"), F.round(vx.dot(F.col("new"), sevens), 3).alias("weighted"))
 
 
-@query(f"{WITH} SELECT count(*) AS n, count(*) FILTER (WHERE len(embedding) = {DIM}) AS whole, CAST(sum(len(coalesce(embedding, []))) AS BIGINT) AS numbers FROM posts_once")
+@query(f"{WITH} SELECT id, coalesce(len(embedding), 0) AS n, CASE WHEN len(embedding) > 0 THEN round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * (i % 5))), 6) END AS weighted FROM posts_once")
 def vector_codec(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors through their text form and back."""
-    back = posts(spark, d, "embedding").select(vx.from_text(vx.to_text("embedding")).alias("v"))
-    return back.agg(F.count("*").alias("n"), F.count_if(F.size("v") == DIM).alias("whole"), F.sum(F.size("v")).alias("numbers"))
+    """Vectors through their text and binary forms and back: sizes and a weighted sum of the entries."""
+    back = posts(spark, d, "embedding").select("id", vx.from_text(vx.to_text(vx.from_binary(vx.to_binary("embedding")))).alias("v"))
+    return back.select("id", F.size("v").cast("long").alias("n"), F.when(F.size("v") > 0, F.round(F.aggregate(F.transform("v", lambda x, i: x * ((i + 1) % 5)), F.lit(0.0), lambda s, x: s + x), 6)).alias("weighted"))
 
 
 # Birth
@@ -296,7 +321,14 @@ def temporal_slices(spark: SparkSession, d: str) -> DataFrame:
     return birth.temporal_slices(_buffer(spark, d)).select("id", "slice_id")
 
 
-@query()
+_SLICED = f"""b AS (SELECT id, created_at, embedding AS v, row_number() OVER (ORDER BY created_at, id) AS n FROM posts_once WHERE assignment_status IN ('pending', 'unassigned', 'candidate') AND {LIVE} AND len(embedding) = {DIM}),
+ walk AS (SELECT id, created_at, n, created_at AS opened, 0 AS s FROM b WHERE n = 1 UNION ALL SELECT b.id, b.created_at, b.n, CASE WHEN b.created_at - w.opened > INTERVAL 24 HOUR THEN b.created_at ELSE w.opened END, CASE WHEN b.created_at - w.opened > INTERVAL 24 HOUR THEN w.s + 1 ELSE w.s END FROM walk w JOIN b ON b.n = w.n + 1),
+ sl AS (SELECT b.id, b.created_at, s, v FROM b JOIN walk USING (id)), sims AS (SELECT a.id AS x, b.id AS y, {_COS} AS sim, abs(epoch_us(a.created_at) - epoch_us(b.created_at)) / 3.6e9 AS h FROM sl a JOIN sl b ON a.s = b.s AND a.id <> b.id),
+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(sim, 12) DESC, y) AS r FROM sims WHERE NOT isnan(sim)) WHERE r <= 4),
+ edges AS (SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst, sim * exp(-ln(2) * h / 12) AS weight FROM top WHERE sim >= 0.45)"""
+
+
+@query(f"{WITH}, {_SLICED} SELECT DISTINCT src, dst, round(weight, 6) AS weight FROM edges WHERE weight >= 0.45")
 def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return birth.knn_graph(birth.temporal_slices(_buffer(spark, d), hours=24.0)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
@@ -311,7 +343,19 @@ def split_communities(spark: SparkSession, d: str) -> DataFrame:
     b = _buffer(spark, d)
     found = birth.communities(birth.knn_graph(birth.temporal_slices(b, hours=24.0)), min_size=2)
     extra = b.select("id", tx.identity_tokens(F.col("entities")).alias("tokens"), F.col("embedding").alias("v"))
-    return birth.split_communities(found.join(extra, "id"))
+    return birth.split_communities(found.join(extra, "id"), DIM)
+
+
+@query()
+def born_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """Hubs that all posts with a vector would give birth to, slice by slice of an hour, with the operator's own limits."""
+    p = folding.canonical(_usable(spark, d, "created_at", "entities", "user_id", "external_author_id", "engagement_score"))
+    sliced = cut(birth.temporal_slices(p))
+    found = birth.communities(birth.knn_graph(sliced))
+    threads = birth.split_communities(found.join(p.select("id", tx.identity_tokens(F.col("entities")).alias("tokens"), F.col("embedding").alias("v")), "id"), DIM)
+    author = F.coalesce("external_author_id", F.col("user_id").cast("string"))
+    born, _ = birth.born_hubs(threads, p.select("id", author.alias("author"), "engagement_score", "created_at", F.col("embedding").alias("v")), DIM)
+    return born.select("hub", "n", "authors", F.round("cohesion", 6).alias("cohesion"), "seed_id")
 
 
 # Merging
@@ -336,16 +380,16 @@ def dominant_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CAND = f"""hc AS (SELECT id, coalesce(member_count, 0) AS m, last_updated_at AS t, centroid AS v FROM hubs_once WHERE is_active AND len(centroid) = {DIM} AND list_aggregate(centroid, 'max') > 0),
- cand AS (SELECT CASE WHEN a.m >= b.m THEN a.id ELSE b.id END AS a, CASE WHEN a.m >= b.m THEN b.id ELSE a.id END AS b, {_COS} AS sim FROM hc a JOIN hc b ON a.id < b.id AND abs(epoch_us(a.t) - epoch_us(b.t)) <= 43200000000 WHERE {_COS} >= 0.45)"""
+ cand AS (SELECT CASE WHEN a.m >= b.m THEN a.id ELSE b.id END AS a, CASE WHEN a.m >= b.m THEN b.id ELSE a.id END AS b, {_COS} AS sim FROM hc a JOIN hc b ON a.id < b.id AND abs(epoch_us(a.t) - epoch_us(b.t)) <= 604800000000 WHERE {_COS} >= 0.45)"""
 
 
 @query(f"{WITH}, {_CAND} SELECT a, b, round(sim, 6) AS sim FROM cand")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return merging.merge_candidates(hubs(spark, d), DIM).select("a", "b", F.round("sim", 6).alias("sim"))
+    return merging.merge_candidates(hubs(spark, d), DIM, gap_hours=168.0).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return merging.judged_pairs(merging.merge_candidates(hubs(spark, d), DIM), merging.dominant_tokens(posts(spark, d, "entities", "event_id", "deleted_at")))
+    return merging.judged_pairs(merging.merge_candidates(hubs(spark, d), DIM, gap_hours=168.0), merging.dominant_tokens(posts(spark, d, "entities", "event_id", "deleted_at")))
 
 
 @query(f"""{WITH}, {_DOMINANT}, {_CAND}, o AS (SELECT event_id, list(v) FILTER (WHERE label = 'ORG') AS orgs, list(label || ':' || v) AS ids FROM dom GROUP BY 1)
@@ -361,6 +405,33 @@ def greedy_merges(spark: SparkSession, d: str) -> DataFrame:
     return merging.greedy_merges(cut(_judged(spark, d)).where("merge"), hubs(spark, d))
 
 
+@query()
+def fixpoint_merges(spark: SparkSession, d: str) -> DataFrame:
+    """Merge passes over hubs of the last month until one finds nothing."""
+    p = posts(spark, d, "entities", "event_id", "deleted_at", "assignment_status", "repost_of_id")
+    return merging.merge_to_fixpoint(p, hubs(spark, d), DIM, "2026-03-28 00:00:00", fresh_hours=720.0, gap_hours=168.0)[2]
+
+
+@query(f"{WITH} SELECT m.id, CASE WHEN len(a.centroid) = {DIM} AND len(b.centroid) = {DIM} THEN round(list_cosine_similarity(CAST(a.centroid AS DOUBLE[]), CAST(b.centroid AS DOUBLE[])), 3) ELSE 0.9 END AS score FROM hub_merges m LEFT JOIN hubs_once a ON a.id = source_event_id LEFT JOIN hubs_once b ON b.id = target_event_id")
+def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of the two hubs of every merge; 0.9 where a centroid is missing."""
+    side = lambda n: hubs(spark, d).select(F.col("id").alias(f"{n}_event_id"), F.when(F.size("centroid") == DIM, F.col("centroid")).alias(n))
+    rows = table(spark, d, "hub_merges").join(side("source"), "source_event_id", "left").join(side("target"), "target_event_id", "left")
+    return rows.select("id", F.coalesce(F.round(vx.cosine(F.col("source"), F.col("target")), 3), F.lit(0.9)).alias("score"))
+
+
+_STOPS, _TICK = tuple(merging.CODENAME_STOP.split()), "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in merging.TICKERS.items()) + "}"
+
+
+@query(f"""{WITH}, w AS (SELECT id, created_at, list_filter(string_split(replace(lower(CASE WHEN length(handle) > 0 THEN handle ELSE coalesce(title, '') END), '_', '-'), '-'), lambda x: x <> '') AS ws FROM hubs_once),
+ k AS (SELECT id, created_at, CASE WHEN len(list_filter(ws, lambda x: x NOT IN {_STOPS})) > 0 THEN list_filter(ws, lambda x: x NOT IN {_STOPS}) ELSE ws END AS ks FROM w),
+ r AS (SELECT *, coalesce({_TICK}[ks[1]], upper(substr(ks[1], 1, 6)), 'HUB' || id) AS root, list_filter(ks[2:], lambda x: length(x) <= 7 AND NOT regexp_matches(x, '^[0-9_.-]+$'))[1] AS suffix FROM k),
+ c AS (SELECT id, created_at, substr(CASE WHEN length(root) < 6 AND suffix IS NOT NULL THEN root || '-' || upper(suffix) ELSE root END, 1, 17) AS code FROM r)
+SELECT id, CASE WHEN row_number() OVER (PARTITION BY code ORDER BY created_at, id) > 1 THEN code || '-' || id ELSE code END AS codename FROM c""")
+def codenames(spark: SparkSession, d: str) -> DataFrame:
+    return merging.codenames(hubs(spark, d))
+
+
 @query(f"{WITH} SELECT id AS src, nxt AS dst FROM (SELECT id, lead(id) OVER (ORDER BY created_at, id) AS nxt FROM hubs_once WHERE created_at IS NOT NULL) WHERE nxt IS NOT NULL")
 def birth_edges(spark: SparkSession, d: str) -> DataFrame:
     return merging.birth_edges(hubs(spark, d))
@@ -371,9 +442,15 @@ def voice_edges(spark: SparkSession, d: str) -> DataFrame:
     return merging.voice_edges(posts(spark, d, "user_id", "event_id", "deleted_at"))
 
 
-@query()
+@query(f"""{WITH}, hc AS (SELECT id, created_at, centroid AS v FROM hubs_once WHERE is_active AND len(centroid) = {DIM} AND list_aggregate(centroid, 'max') > 0),
+ uh AS (SELECT DISTINCT user_id, event_id FROM posts_once WHERE {LIVE} AND event_id IS NOT NULL AND user_id IS NOT NULL),
+ e AS (SELECT least(id, nxt) AS src, greatest(id, nxt) AS dst, 0 AS p, 'birth' AS kind, 1.0 AS w FROM (SELECT id, lead(id) OVER (ORDER BY created_at, id) AS nxt FROM hc) WHERE nxt IS NOT NULL
+  UNION ALL SELECT a.id, b.id, 1, 'similar', {_COS} FROM hc a JOIN hc b ON a.id < b.id WHERE {_COS} >= 0.18
+  UNION ALL SELECT a.event_id, b.event_id, 2, 'voice', count(*) FROM uh a JOIN uh b ON a.user_id = b.user_id AND a.event_id < b.event_id GROUP BY 1, 2)
+SELECT src, dst, kind, round(greatest(0.05, least(1.0, w)), 3) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY p) AS r FROM e) WHERE r = 1""")
 def hub_graph(spark: SparkSession, d: str) -> DataFrame:
-    h = hubs(spark, d)
+    """The network of the active hubs with a centroid; voices also join others."""
+    h = hubs(spark, d).where("is_active").where(F.size("centroid") == DIM).where(F.exists("centroid", lambda x: x > 0))
     similar = merging.merge_candidates(h, DIM, floor=0.18, gap_hours=None)
     return merging.hub_graph(merging.birth_edges(h), similar, merging.voice_edges(posts(spark, d, "user_id", "event_id", "deleted_at")))
 
@@ -404,6 +481,18 @@ def latest_labels(spark: SparkSession, d: str) -> DataFrame:
     return quality.latest_labels(table(spark, d, "clustering_feedback_log")).select("post_id", "label")
 
 
+@query(f"WITH {_LABELS} SELECT post_id, label FROM labels WHERE policy_version = 'v2' AND model_version = 'minilm-a'")
+def labels_of_version(spark: SparkSession, d: str) -> DataFrame:
+    return quality.labels_of(table(spark, d, "clustering_feedback_log"), "v2", "minilm-a")
+
+
+@query("SELECT coalesce(avg(CASE WHEN similarity > runner_similarity THEN 1.0 ELSE 0.0 END), 1.0) AS precision, coalesce(avg(CASE WHEN similarity >= runner_similarity THEN 1.0 ELSE 0.0 END), 1.0) AS recall FROM assignment_decision_log WHERE similarity IS NOT NULL AND runner_similarity IS NOT NULL")
+def pairwise_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "assignment_decision_log").where("similarity is not null and runner_similarity is not null")
+    a = quality.pairwise_accuracy(rows, "similarity", "runner_similarity")
+    return a.select("precision", "recall")
+
+
 @query(f"WITH {_LABELS} SELECT policy_version, model_version, round(avg(similarity) FILTER (WHERE label = 'good') - avg(similarity) FILTER (WHERE label = 'bad'), 6) AS drift FROM judged GROUP BY 1, 2")
 def drift_by_version(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.drift(table(spark, d, "clustering_feedback_log"), table(spark, d, "assignment_decision_log"))
@@ -434,13 +523,13 @@ def threshold_impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH once AS (SELECT DISTINCT ON (id) id, ground_truth AS t, event_id AS f FROM posts WHERE ground_truth IS NOT NULL AND event_id IS NOT NULL ORDER BY id, received_at),
- c AS (SELECT t, f, count(*)::DOUBLE AS n FROM once GROUP BY 1, 2), a AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS tp FROM c), x AS (SELECT sum(s * (s - 1) / 2) AS pt FROM (SELECT sum(n) AS s FROM c GROUP BY t)), y AS (SELECT sum(s * (s - 1) / 2) AS pf, sum(b) AS pure FROM (SELECT sum(n) AS s, max(n) AS b FROM c GROUP BY f))
-SELECT round(tp / pf, 6) AS precision, round(tp / pt, 6) AS recall, round(pure / n, 6) AS purity, round((tp - pt * pf / (n * (n - 1) / 2)) / ((pt + pf) / 2 - pt * pf / (n * (n - 1) / 2)), 6) AS ari FROM a, x, y""")
+ c AS (SELECT t, f, count(*)::DOUBLE AS n FROM once GROUP BY 1, 2), a AS (SELECT sum(n) AS n, sum(n * (n - 1) / 2) AS tp, sum(n * ln(n)) AS nlogn FROM c), x AS (SELECT sum(s * (s - 1) / 2) AS pt, sum(s * ln(s)) AS tlogt FROM (SELECT sum(n) AS s FROM c GROUP BY t)), y AS (SELECT sum(s * (s - 1) / 2) AS pf, sum(s * ln(s)) AS flogf, sum(b) AS pure FROM (SELECT sum(n) AS s, max(n) AS b FROM c GROUP BY f))
+SELECT round(tp / pf, 6) AS precision, round(tp / pt, 6) AS recall, round(pure / n, 6) AS purity, round(2 * tp / (pf + pt), 6) AS f1, round(2 * (ln(n) + (nlogn - tlogt - flogf) / n) / ((ln(n) - tlogt / n) + (ln(n) - flogf / n)), 6) AS nmi, round((tp - pt * pf / (n * (n - 1) / 2)) / ((pt + pf) / 2 - pt * pf / (n * (n - 1) / 2)), 6) AS ari FROM a, x, y""")
 def clustering_scores(spark: SparkSession, d: str) -> DataFrame:
     """The stored hubs against the ground truth."""
     rows = table(spark, d, "posts").where("ground_truth is not null and event_id is not null").groupBy("id").agg(F.min_by("ground_truth", "received_at").alias("t"), F.min_by("event_id", "received_at").alias("f"))
     s = quality.clustering_scores(rows, "t", "f")
-    return s.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "purity", "ari")])
+    return s.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "purity", "nmi", "ari")])
 
 
 # Journals and ledgers
@@ -555,9 +644,13 @@ def feedback_stats(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("feedback_type").agg(F.count("*").alias("n"), F.count_distinct("actor").alias("actors"), F.count_distinct(F.split_part("actor", F.lit(":"), F.lit(1))).alias("kinds"))
 
 
-@query()
+@query(f"""{WITH}, t AS (SELECT id, event_id, content FROM posts_once WHERE content IS NOT NULL), j AS (SELECT DISTINCT post_id, event_id, feedback_type FROM clustering_feedback_log WHERE post_id IS NOT NULL AND event_id IS NOT NULL),
+ rm AS (SELECT j.event_id, t.id, t.event_id AS now FROM j JOIN t ON t.id = j.post_id WHERE feedback_type = 'user_removed')
+SELECT j.post_id, j.event_id, length(t.content) AS chars, coalesce((SELECT min(s.id) FROM t s WHERE s.event_id = j.event_id AND s.id <> j.post_id), j.post_id) AS positive_id, coalesce((SELECT min(rm.id) FROM rm WHERE rm.event_id = j.event_id), (SELECT min(rm.id) FROM rm WHERE rm.now <> j.event_id)) AS negative_id
+FROM j JOIN t ON t.id = j.post_id WHERE feedback_type = 'user_confirmed'""")
 def training_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return read_models.training_pairs(table(spark, d, "clustering_feedback_log"), posts(spark, d, "event_id", "deleted_at"))
+    rows = read_models.training_pairs(table(spark, d, "clustering_feedback_log"), posts(spark, d, "event_id", "content"))
+    return rows.select("post_id", "event_id", F.length("anchor").cast("long").alias("chars"), "positive_id", "negative_id")
 
 
 # Corrections
@@ -590,10 +683,10 @@ def merged_hubs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{WITH}, f AS (SELECT DISTINCT post_id, event_id FROM clustering_feedback_log WHERE feedback_type = 'user_removed')
-SELECT p.id, CASE WHEN f.post_id IS NULL THEN p.event_id END AS event_id, CASE WHEN f.post_id IS NULL THEN assignment_status ELSE 'candidate' END AS assignment_status FROM posts_once p LEFT JOIN f ON f.post_id = p.id AND f.event_id = p.event_id""")
+SELECT p.id, CASE WHEN f.post_id IS NULL THEN p.event_id END AS event_id, CASE WHEN f.post_id IS NULL THEN assignment_status ELSE 'candidate' END AS assignment_status FROM posts_once p LEFT JOIN f ON f.post_id = p.id AND f.event_id = p.event_id AND p.deleted_at IS NULL AND p.repost_of_id IS NULL""")
 def unlinked_posts(spark: SparkSession, d: str) -> DataFrame:
     removed = table(spark, d, "clustering_feedback_log").where("feedback_type = 'user_removed'")
-    return corrections.unlink(posts(spark, d, "event_id", "assignment_status"), removed).select("id", "event_id", "assignment_status")
+    return corrections.unlink(posts(spark, d, "event_id", "assignment_status", "deleted_at", "repost_of_id"), removed).select("id", "event_id", "assignment_status")
 
 
 @query(f"""{WITH}, gone AS (SELECT DISTINCT repost_of_id AS id FROM posts_once WHERE repost_of_id IS NOT NULL),
@@ -606,13 +699,64 @@ def originals_deleted(spark: SparkSession, d: str) -> DataFrame:
     return corrections.delete(p, gone, AS_OF).select("id", "repost_of_id", F.col("deleted_at").isNotNull().alias("deleted"))
 
 
-@query()
+@query(f"""{WITH}, {_PAIRS}, moved AS (SELECT p.id, coalesce(t, event_id) AS ev, event_id AS was, deleted_at, repost_of_id, assignment_status FROM posts_once p LEFT JOIN pairs ON s = event_id),
+ back AS (SELECT m.id, m.was, m.ev FROM moved m JOIN pairs ON s = m.was WHERE m.deleted_at IS NULL AND assignment_status = 'assigned'),
+ home AS (SELECT id, was FROM back UNION SELECT c.id, b.was FROM moved c JOIN back b ON c.repost_of_id = b.id AND c.ev = b.ev WHERE c.assignment_status = 'repost' AND c.deleted_at IS NULL),
+ after AS (SELECT m.id, coalesce(h.was, m.ev) AS ev, deleted_at, repost_of_id FROM moved m LEFT JOIN home h ON h.id = m.id),
+ n AS (SELECT ev, count(*) FILTER (WHERE repost_of_id IS NULL) AS m FROM after WHERE deleted_at IS NULL AND ev IS NOT NULL GROUP BY 1),
+ act AS (SELECT id FROM hubs_once h WHERE is_active AND id NOT IN (SELECT s FROM pairs)), ok AS (SELECT s, t FROM pairs WHERE t IN (SELECT id FROM act)),
+ g AS (SELECT t, sum(coalesce(member_count, 0)) AS more FROM pairs JOIN hubs_once ON id = s GROUP BY 1), lost AS (SELECT ev, count(*) AS l FROM back JOIN ok ON ok.s = back.was GROUP BY 1), won AS (SELECT was, count(*) AS w FROM back JOIN ok ON ok.s = back.was GROUP BY 1)
+SELECT h.id, CASE WHEN ok.s IS NOT NULL THEN true WHEN p.s IS NOT NULL THEN false ELSE is_active END AS is_active, CASE WHEN ok.s IS NOT NULL THEN NULL ELSE coalesce(p.t, merged_into_id) END AS merged_into_id,
+ CAST(CASE WHEN ok.s IS NOT NULL THEN coalesce(n.m, w, 0) WHEN h.id IN (SELECT t FROM ok) THEN coalesce(n.m, greatest(coalesce(member_count, 0) + coalesce(more, 0) - coalesce(l, 0), 0)) WHEN g.t IS NOT NULL THEN coalesce(member_count, 0) + more ELSE member_count END AS INTEGER) AS member_count
+FROM hubs_once h LEFT JOIN pairs p ON p.s = h.id LEFT JOIN ok ON ok.s = h.id LEFT JOIN n ON n.ev = h.id LEFT JOIN g ON g.t = h.id LEFT JOIN lost ON lost.ev = h.id LEFT JOIN won ON won.was = h.id""")
 def reopened_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """Merges of the log made and undone: flags and counts of all hubs."""
     p, h, pairs = _merge_tables(spark, d)
     moved, after, log = corrections.apply_merges(p, h, pairs, AS_OF)
-    return corrections.reopen_merges(moved, after, cut(log), AS_OF)[1].select("id", "is_active", "merged_into_id", "status")
+    return corrections.reopen_merges(moved, cut(after), cut(log), AS_OF)[1].select("id", "is_active", "merged_into_id", "member_count")
 
 
-@query()
+@query(f"""{WITH}, r AS (SELECT DISTINCT post_id, event_id FROM clustering_feedback_log WHERE feedback_type = 'user_removed' AND post_id IS NOT NULL),
+ w AS (SELECT id, id AS cur, 0 AS n FROM hubs_once UNION ALL SELECT w.id, h.merged_into_id, w.n + 1 FROM w JOIN hubs_once h ON h.id = w.cur WHERE w.n < 5 AND NOT coalesce(h.is_active, false) AND h.merged_into_id IS NOT NULL), c AS (SELECT id, arg_max(cur, n) AS hub FROM w GROUP BY 1),
+ hit AS (SELECT DISTINCT p.id, hub FROM r JOIN c ON c.id = r.event_id JOIN posts_once p ON p.id = r.post_id AND p.event_id = hub WHERE {OWN}), n AS (SELECT hub, count(*) AS n FROM hit GROUP BY 1)
+SELECT h.id, CAST(CASE WHEN n IS NULL THEN member_count ELSE greatest(coalesce(member_count, 0) - n, 0) END AS INTEGER) AS member_count, coalesce(n, 0) AS removed FROM hubs_once h LEFT JOIN n ON n.hub = h.id""")
+def unlinked_hubs(spark: SparkSession, d: str) -> DataFrame:
+    removed = table(spark, d, "clustering_feedback_log").where("feedback_type = 'user_removed'")
+    p = posts(spark, d, "event_id", "assignment_status", "deleted_at", "repost_of_id", "embedding")
+    _, after, _, told = corrections.unlinked(p, hubs(spark, d), removed, AS_OF)
+    n = told.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("removed"))
+    return after.select("id", "member_count").join(n, "id", "left").fillna(0, ["removed"])
+
+
+@query(f"""{WITH}, pin AS (SELECT DISTINCT post_id, event_id FROM clustering_feedback_log WHERE feedback_type <> 'user_removed' AND post_id IS NOT NULL UNION SELECT id, (SELECT min(id) FROM hubs_once WHERE is_active) FROM posts_once WHERE id % 50 = 0),
+ w AS (SELECT id, id AS cur, 0 AS n FROM hubs_once UNION ALL SELECT w.id, h.merged_into_id, w.n + 1 FROM w JOIN hubs_once h ON h.id = w.cur WHERE w.n < 5 AND NOT coalesce(h.is_active, false) AND h.merged_into_id IS NOT NULL), c AS (SELECT w.id, arg_max(cur, n) AS hub FROM w GROUP BY 1),
+ a AS (SELECT post_id AS id, min(hub) AS hub FROM pin JOIN c ON c.id = pin.event_id JOIN hubs_once h ON h.id = hub AND h.is_active GROUP BY 1), hit AS (SELECT p.id, hub, p.event_id AS old FROM a JOIN posts_once p ON p.id = a.id WHERE {OWN}),
+ ch AS (SELECT hub AS id, 1 AS delta FROM hit WHERE old IS DISTINCT FROM hub UNION ALL SELECT old, -1 FROM hit WHERE old IS NOT NULL AND old <> hub), s AS (SELECT id, sum(delta) AS delta FROM ch GROUP BY 1)
+SELECT h.id, CAST(CASE WHEN delta IS NULL THEN member_count ELSE greatest(coalesce(member_count, 0) + delta, 0) END AS INTEGER) AS member_count, (SELECT count(*) FROM hit WHERE hit.hub = h.id) AS confirmed FROM hubs_once h LEFT JOIN s ON s.id = h.id""")
+def confirmed_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """Confirmations of the log, and every fiftieth post pinned to the first active hub."""
+    p, h = posts(spark, d, "event_id", "assignment_status", "assignment_confidence", "deleted_at", "repost_of_id"), hubs(spark, d)
+    first = h.where("is_active").agg(F.min("id").alias("event_id"))
+    pins = table(spark, d, "clustering_feedback_log").where("feedback_type <> 'user_removed' and post_id is not null").select("post_id", "event_id").union(p.where("id % 50 = 0").select(F.col("id").alias("post_id")).crossJoin(F.broadcast(first)))
+    _, after, told = corrections.confirmed(p, h, pins, AS_OF)
+    n = told.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("confirmed"))
+    return after.select("id", "member_count").join(n, "id", "left").fillna(0, ["confirmed"])
+
+
+@query(f"""{WITH}, tgt AS (SELECT DISTINCT repost_of_id AS id FROM posts_once WHERE repost_of_id IS NOT NULL UNION SELECT id FROM posts_once WHERE id % 40 = 0), gone AS (SELECT p.id, event_id FROM posts_once p JOIN tgt USING (id) WHERE deleted_at IS NULL),
+ child AS (SELECT repost_of_id AS o, min(id) AS heir FROM posts_once WHERE repost_of_id IN (SELECT id FROM tgt) AND deleted_at IS NULL AND id NOT IN (SELECT id FROM gone) GROUP BY 1),
+ after AS (SELECT p.id, p.event_id, CASE WHEN c.heir = p.id THEN NULL WHEN c.heir IS NOT NULL THEN c.heir ELSE repost_of_id END AS o FROM posts_once p LEFT JOIN child c ON c.o = p.repost_of_id WHERE deleted_at IS NULL AND p.id NOT IN (SELECT id FROM gone) AND p.event_id IS NOT NULL),
+ n AS (SELECT event_id, count(*) FILTER (WHERE o IS NULL) AS m, count(*) FILTER (WHERE o IS NOT NULL) AS r FROM after GROUP BY 1), less AS (SELECT event_id, count(*) AS k FROM gone WHERE event_id IS NOT NULL GROUP BY 1), sync AS (SELECT DISTINCT event_id FROM gone WHERE id IN (SELECT o FROM child) AND event_id IS NOT NULL)
+SELECT h.id, CAST(CASE WHEN sync.event_id IS NOT NULL AND m IS NOT NULL THEN m WHEN k IS NOT NULL THEN greatest(coalesce(member_count, 0) - k, 0) ELSE member_count END AS INTEGER) AS member_count FROM hubs_once h LEFT JOIN n ON n.event_id = h.id LEFT JOIN less ON less.event_id = h.id LEFT JOIN sync ON sync.event_id = h.id""")
+def deleted_hubs(spark: SparkSession, d: str) -> DataFrame:
+    """Counts after every reposted post and every fortieth post is deleted."""
+    p = posts(spark, d, "event_id", "deleted_at", "assignment_status", "repost_of_id")
+    gone = p.where("repost_of_id is not null").select(F.col("repost_of_id").alias("id")).union(p.where("id % 40 = 0").select("id"))
+    return corrections.deleted(p, hubs(spark, d), gone, AS_OF)[1].select("id", "member_count")
+
+
+@query(f"""{WITH}, l AS (SELECT * FROM posts_once WHERE {LIVE}), j AS (SELECT r.event_id AS a, o.event_id AS b, o.repost_of_id AS x FROM l r JOIN l o ON o.id = r.repost_of_id),
+ u AS (SELECT 'status_and_lineage' AS rule, count(*) AS n FROM l WHERE (assignment_status = 'repost') <> (repost_of_id IS NOT NULL) UNION ALL SELECT 'repost_chain', count(*) FROM j WHERE x IS NOT NULL UNION ALL SELECT 'copy_in_another_hub', count(*) FROM j WHERE a IS DISTINCT FROM b
+ UNION ALL SELECT 'double_signature', count(*) FROM (SELECT 1 FROM l WHERE repost_of_id IS NULL AND event_id IS NOT NULL AND content_sig <> 0 GROUP BY event_id, content_sig HAVING count(*) > 1)) SELECT rule, n FROM u WHERE n > 0""")
 def broken_invariants(spark: SparkSession, d: str) -> DataFrame:
-    return corrections.broken_invariants(posts(spark, d, "event_id", "deleted_at", "assignment_status", "repost_of_id", "content_sig"))
+    return corrections.broken_invariants(posts(spark, d, "event_id", "deleted_at", "assignment_status", "repost_of_id", "content_sig"))
\ No newline at end of file

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side with at most this many narrow rows may be broadcast (tens of MB); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: And at most this many bytes by the plan's statistics (compressed files: some three times as much in memory).
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(app: str = "tideloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -32,9 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables: `spark.checkpoint.dir`, else (tests) a temporary one."""
+    """The folder for intermediate tables, which all executors share: `spark.checkpoint.dir`.
+
+    Only a local session, where executors and driver are one process, gets a temporary folder if it is unset.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder for intermediate tables")
         got = "file://" + tempfile.mkdtemp(prefix="tideloom-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -56,8 +63,12 @@ def drop_cut(df: DataFrame) -> None:
 
 
 def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only for a side whose counted rows are within `bound`; else leave the join to AQE."""
-    return F.broadcast(df) if rows <= bound else df
+    """Hint a broadcast only for a side whose counted rows and estimated bytes are within bounds; else leave the join to AQE."""
+    if rows > bound:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # plans without statistics give the product of their sides
+    return F.broadcast(df) if not known or size <= BROADCAST_BYTES else df
 
 
 def one_row_per_key(df: DataFrame, key: str, order: list[Column], bound: int = BROADCAST_ROWS) -> DataFrame:

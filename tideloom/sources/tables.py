@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,11 @@ def validated(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class SnapshotStore:
-    """Whole-table snapshots under one folder: write version n+1, then move a pointer; readers see one version."""
+    """Whole-table snapshots under one folder. Version n is the folder `vn`, valid once its marker `vn.json` is there.
+
+    A marker is written under another name and renamed, which no reader sees half done; readers take the highest one, so
+    a writer that dies leaves the version before in place, and its folder is overwritten by the next.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -64,28 +69,52 @@ class SnapshotStore:
     def _fs(self):  # noqa: ANN202
         return self._path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def versions(self, name: str) -> list[int]:
+        """Valid versions, oldest first."""
+        home = self._path(f"{self.folder}/{name}")
+        if not self._fs().exists(home):
+            return []
+        names = [s.getPath().getName() for s in self._fs().listStatus(home)]
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())
+
     def version(self, name: str) -> int:
-        at = self._path(f"{self.folder}/{name}/CURRENT")
-        if not self._fs().exists(at):
-            return 0
-        return json.loads(self.spark.read.text(f"{self.folder}/{name}/CURRENT").first()[0])["version"]
+        return max(self.versions(name), default=0)
 
     def write(self, name: str, df: DataFrame, keep: int = 3) -> int:
+        """Write the next version and delete those older than the last `keep`."""
         new = self.version(name) + 1
-        df.write.mode("errorifexists").parquet(f"{self.folder}/{name}/v{new}")
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v{new}")
         fs = self._fs()
         part = self._path(f"{self.folder}/{name}/.{uuid.uuid4().hex}")
         out = fs.create(part)
         out.write(bytearray(json.dumps({"version": new, "schema": SCHEMA_VERSION}).encode()))
         out.close()
-        current = self._path(f"{self.folder}/{name}/CURRENT")
-        fs.delete(current, False)
-        fs.rename(part, current)
-        fs.delete(self._path(f"{self.folder}/{name}/v{new - keep}"), True)
+        if not fs.rename(part, self._path(f"{self.folder}/{name}/v{new}.json")):
+            raise RuntimeError(f"version {new} of {name} was written by someone else")
+        for old in [v for v in self.versions(name) if v <= new - keep]:
+            fs.delete(self._path(f"{self.folder}/{name}/v{old}.json"), False)
+            fs.delete(self._path(f"{self.folder}/{name}/v{old}"), True)
         return new
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/v{self.version(name)}")
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The highest version, or an older one that is still kept: a restore is a read of it and a write."""
+        at = version or self.version(name)
+        if at not in self.versions(name):
+            raise ValueError(f"{name} has no version {at}")
+        return self.spark.read.parquet(f"{self.folder}/{name}/v{at}")
+
+    def migrate(self, name: str, steps: dict[int, Callable[[DataFrame], DataFrame]]) -> int:
+        """Rewrite the current version by the steps from its schema version on, in order, forward only."""
+        at = self.version(name)
+        was = json.loads(self.spark.read.text(f"{self.folder}/{name}/v{at}.json").first()[0])["schema"]
+        if was > SCHEMA_VERSION:
+            raise ValueError(f"{name} has schema version {was}, newer than {SCHEMA_VERSION}")
+        df = self.read(name)
+        for n in range(was + 1, SCHEMA_VERSION + 1):
+            if n not in steps:
+                raise ValueError(f"no step to schema version {n}")
+            df = steps[n](df)
+        return self.write(name, df) if was < SCHEMA_VERSION else at
 
     def append(self, name: str, df: DataFrame, day: str = "created_at") -> None:
         """Append to a journal partitioned by day."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideloom.functions.text import content_signature
-from tideloom.operators import matching
+from tideloom.operators import matching, transitions
+from tideloom.operators.ledger import latest, upsert
 from tideloom.operators.late_events import AMENDS, ON_TIME, REFUSED, FingerBTree
 from tideloom.sources.tables import SnapshotStore, validated
 
@@ -21,18 +22,32 @@ from tideloom.sources.tables import SnapshotStore, validated
 def ingest(batch: DataFrame, hubs: DataFrame, identity: DataFrame, dim: int, threshold: float) -> DataFrame:
     """One micro-batch of posts (with vectors and entities) to decisions, against the hubs as they stood at its start."""
     accepted, _ = validated(batch)
-    once = accepted.dropDuplicates(["id"]).withColumn("content_sig", content_signature(F.col("content")))
+    newest = [F.desc_nulls_last(c) for c in ("received_at", "published_at") if c in accepted.columns]
+    once = latest(accepted, ["id"], [*newest, F.xxhash64(*accepted.columns)]).withColumn("content_sig", content_signature(F.col("content")))
     matches = matching.match_top2(once, hubs, dim)
     decided = matching.assign(matches, once.select(F.col("id").alias("post_id"), "entities"), identity, threshold)
     return decided.join(once.select(F.col("id").alias("post_id"), "content_sig"), "post_id")
 
 
 def ingest_stream(posts: DataFrame, store: SnapshotStore, hubs: Callable[[], DataFrame], identity: Callable[[], DataFrame], dim: int, threshold: float, checkpoint: str) -> StreamingQuery:
-    """Decide every micro-batch and write it under its own number: a replayed batch overwrites itself."""
+    """Decide every micro-batch and write it under its own number: a replayed batch overwrites itself.
+
+    If the store holds `posts`, the batch is upserted into them (tombstones stay, the last delivery wins) and the
+    decisions change the status of those that wait; the snapshot names the batch, so a replay changes nothing.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
         rows = ingest(batch, hubs(), identity(), dim, threshold).withColumn("batch", F.lit(number))
         rows.write.mode("overwrite").parquet(f"{store.folder}/decisions/batch={number}")
+        if store.version("posts"):
+            done = store.spark.read.parquet(f"{store.folder}/decisions/batch={number}")
+            newest = [F.desc_nulls_last("received_at")] if "received_at" in batch.columns else [F.desc("id")]
+            accepted, _ = validated(batch)
+            stored = upsert(store.read("posts"), accepted, ["id"], newest, [c for c in ("published_at",) if c in batch.columns]).fillna({"assignment_status": "pending"})
+            changes = done.select(F.col("post_id").alias("id"), "status", "event_id", "confidence")
+            store.write("posts", transitions.with_status(stored, changes, ("pending", "processing"), datetime.now(timezone.utc)))
+        batch.unpersist()
 
     return posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -66,6 +81,16 @@ def late_event_stream(events: DataFrame, key: str, event_at: str, received_at: s
     return out.select(F.col("k").alias(key), F.timestamp_micros(F.col("p") * F.lit(span)).alias("period_start"), "fate")
 
 
+def period_stream(events: DataFrame, event_at: str, received_at: str, period: str = "1 hour", cutoff: str = "24 hours") -> DataFrame:
+    """`(period_start, n, late)`: running counts by event time, amended while a period is open and final after the cut-off.
+
+    In `update` mode every trigger gives the periods it changed, in `append` mode each period once, when it closes.
+    """
+    rows = events.where(F.col(event_at).isNotNull()).withWatermark(event_at, cutoff)
+    late = F.col(received_at) > F.window(event_at, period).getField("end") + F.expr("INTERVAL 15 MINUTES")
+    return rows.withColumn("__late", late).groupBy(F.window(event_at, period).alias("w")).agg(F.count("*").alias("n"), F.count_if("__late").alias("late")).select(F.col("w.start").alias("period_start"), "n", "late")
+
+
 def rollup_stream(decisions: DataFrame, every: str = "1 hour", lateness: str = "24 hours") -> DataFrame:
     """Windowed totals and assigned decisions; `append` mode gives closed windows, `update` mode the running ones."""
     rows = decisions.withWatermark("created_at", lateness)
