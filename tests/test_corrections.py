@@ -4,6 +4,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideloom.operators import corrections
 
@@ -28,10 +29,30 @@ def test_merge_and_reopen(spark):
     assert {(r.source_event_id, r.post_id) for r in log.collect()} == {(10, 1), (10, 2), (12, 5)}
     unlinked = corrections.unlink(moved, spark.createDataFrame([(1, 11)], "post_id long, event_id long"))
     back, again = corrections.reopen_merges(unlinked, after, log.where("source_event_id = 10"), T0)
-    assert {r.id: r.event_id for r in back.collect()} == {1: None, 2: 10, 3: 11, 4: 11, 5: 11}
+    assert {r.id: r.event_id for r in back.collect()} == {1: None, 2: 11, 3: 11, 4: 11, 5: 11}  # the copy stays, as its original did not go back
+    both, counts = corrections.reopen_merges(moved, after, log.where("source_event_id = 10"), T0)
+    assert {r.id: r.event_id for r in both.collect()} == {1: 10, 2: 10, 3: 11, 4: 11, 5: 11}
+    assert {r.id: (r.member_count, r.repost_count) for r in counts.collect()} == {10: (1, 1), 11: (2, 0), 12: (1, 0)}
+    onward = after.withColumn("merged_into_id", F.when(F.col("id") == 10, 99).otherwise(F.col("merged_into_id")))
+    assert {r.id: r.event_id for r in corrections.reopen_merges(moved, onward, log.where("source_event_id = 10"), T0)[0].collect()}[1] == 11
     assert {r.id: (r.is_active, r.merged_into_id) for r in again.collect()} == {10: (True, None), 11: (True, None), 12: (False, 11)}
 
 
+def test_unlink_confirm_and_delete_move_counts(spark):
+    posts = spark.createDataFrame([(1, 10, "assigned", None, None, 5, 0.9, [1.0, 0.0]), (2, 10, "repost", None, 1, 5, None, None), (3, 11, "assigned", None, None, 6, None, [0.0, 1.0]), (4, None, "candidate", None, None, 7, 0.5, None)], POSTS + ", assignment_confidence double, embedding array<float>")
+    hubs = spark.createDataFrame([(10, True, "active", None, 1, 1, [1.0, 0.0], T0), (11, True, "active", None, 3, 0, [0.0, 1.0], T0), (12, False, "merged", 10, 1, 0, None, T0)], HUBS)
+    removals = spark.createDataFrame([(1, 12), (2, 10), (3, 10), (99, 10)], "post_id long, event_id long")
+    after, counted, buffer, told = corrections.unlinked(posts, hubs, removals, T0)
+    assert {r.id: (r.event_id, r.assignment_status) for r in after.collect()}[1] == (None, "candidate") and [r.post_id for r in buffer.collect()] == [1]
+    assert {r.id: r.member_count for r in counted.collect()} == {10: 0, 11: 3, 12: 1} and [(r.post_id, r.event_id, r.similarity) for r in told.collect()] == [(1, 10, 1.0)]
+    after, counted, told = corrections.confirmed(posts, hubs, spark.createDataFrame([(3, 12), (4, 11), (1, 10), (2, 11)], "post_id long, event_id long"), T0)
+    assert {r.id: r.event_id for r in after.collect()} == {1: 10, 2: 10, 3: 10, 4: 11} and {r.id: r.member_count for r in counted.collect()} == {10: 2, 11: 3, 12: 1}
+    assert {(r.post_id, r.similarity) for r in told.collect()} == {(1, 0.9), (3, 0.0), (4, 0.5)}
+    after, counted = corrections.deleted(posts, hubs, spark.createDataFrame([(1,), (3,)], "id long"), T0)
+    assert {r.id: (r.event_id, r.repost_of_id) for r in after.collect()}[2] == (10, None)
+    assert {r.id: (r.member_count, r.repost_count) for r in counted.collect()} == {10: (1, 0), 11: (2, 0), 12: (1, 0)}
+
+
 def test_delete_promotes_the_earliest_copy(spark):
     posts = spark.createDataFrame([(1, 10, "assigned", None, None, 5), (2, 10, "repost", None, 1, 5), (3, 10, "repost", None, 1, 5), (4, 10, "repost", T0, 1, 5)], POSTS)
     got = {r.id: r for r in corrections.delete(posts, spark.createDataFrame([(1,), (99,)], "id long"), T0).collect()}

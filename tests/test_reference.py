@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions import text as tx
 from tideloom.functions import vectors as vx
-from tideloom.operators import birth, folding, ledger, matching, merging, quality
+from tideloom.operators import birth, folding, ledger, matching, merging, policy, quality
 
 T0 = datetime(2026, 3, 1, 10)
 
@@ -131,11 +131,45 @@ def test_knn_and_communities(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5, 99: 99}
 
 
-def test_entity_split():
-    vec = {i: np.array([1.0, 0.0]) if i < 5 else np.array([0.0, 1.0]) for i in range(1, 10)}
-    named = {i: {"ORG:apple"} if i < 5 else {"ORG:samsung"} for i in range(1, 10)} | {4: {"ORG:apple", "ORG:samsung"}, 9: set()}
-    assert birth.split_by_entities(named, vec) == [[5, 6, 7, 8, 9], [1, 2, 3, 4]]
-    assert birth.split_by_entities({1: set(), 2: set()}, vec) == [[1, 2]]
+def threads_of(spark, posts, part=0):
+    rows = [(part, 1, i, sorted(t), v) for i, (t, v) in posts.items()]
+    df = spark.createDataFrame(rows, "slice_id long, community long, id long, tokens array<string>, v array<double>")
+    got = {}
+    for r in birth.split_communities(df, 2).collect():
+        got.setdefault(r.thread, set()).add(r.id)
+    return got
+
+
+def test_entity_split(spark):
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    posts = {i: ({"ORG:apple"}, x) if i < 5 else ({"ORG:samsung"}, y) for i in range(1, 10)}
+    posts[4] = ({"ORG:apple", "ORG:samsung"}, x)  # names both, stands near the first
+    posts[9] = (set(), y)  # names none
+    assert threads_of(spark, posts) == {1: {1, 2, 3, 4}, 5: {5, 6, 7, 8, 9}}
+    posts[4] = ({"ORG:apple", "ORG:samsung"}, None)  # without a vector: to the actor with more posts
+    assert threads_of(spark, posts) == {1: {1, 2, 3}, 4: {4, 5, 6, 7, 8, 9}}
+    assert threads_of(spark, {1: (set(), x), 2: (set(), None)}) == {1: {1, 2}}
+    alias = {i: ({"ORG:apple", "PRODUCT:phone"} if i < 5 else {"ORG:apple"}, x) for i in range(1, 7)}
+    assert threads_of(spark, alias) == {1: {1, 2, 3, 4, 5, 6}}  # stand together in all posts of the rarer
+    lone = {1: ({"a"}, x), 2: ({"a"}, x), 3: ({"b"}, y), 4: ({"c"}, y)}
+    assert threads_of(spark, lone) == {1: {1, 2, 3, 4}}  # single posts join the largest
+
+
+def test_birth_guards_and_chain(spark):
+    rnd = np.random.default_rng(3)
+
+    def cloud(first, n, centre, hour, author, tokens):
+        return [(first + i, [float(z) for z in np.array(centre) + 0.02 * rnd.normal(size=3)], T0 + timedelta(hours=hour, minutes=i), tokens, author(i), i) for i in range(n)]
+
+    rows = cloud(1, 6, [1, 0, 0], 0, lambda i: f"a{i}", ["ORG:x"]) + cloud(10, 6, [0, 1, 0], 0, lambda i: f"a{i % 2}", ["ORG:y"]) + cloud(20, 3, [0, 0, 1], 0, lambda i: f"a{i}", ["ORG:z"]) + cloud(30, 3, [1, 0, 0], 5, lambda i: f"b{i}", ["ORG:x"])
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, created_at timestamp, entities array<string>, author string, engagement_score int")
+    hubs = spark.createDataFrame([(50, [0.0, -1.0, 0.0], 3, None)], "id long, centroid array<float>, member_count int, seed_post_id long")
+    found, state = birth.birth(df, hubs, 3)
+    got = {r.id: (r.event_id, r.role) for r in found.collect()}
+    # Six posts of six authors are born; two authors and three posts are not; the later three join the hub that was born.
+    assert set(got) == {1, 2, 3, 4, 5, 6, 30, 31, 32} and {e for e, _ in got.values()} == {51} and got[6] == (51, "seed") and got[30] == (51, "member")
+    new = {r.id: r for r in state.collect()}
+    assert set(new) == {50, 51} and new[51].member_count == 9 and new[51].seed_post_id == 6 and np.linalg.norm(new[51].centroid) == pytest.approx(1, abs=1e-5)
 
 
 def test_cohesion_and_fallback(spark):
@@ -143,8 +177,37 @@ def test_cohesion_and_fallback(spark):
     got = birth.cohesion(spark.createDataFrame(eye, "g long, id long, v array<float>"), "g", "v", 4).first()
     assert got.cohesion == pytest.approx(0.25)
     posts = pd.DataFrame({"id": [1, 2, 3], "embedding": [[1.0, 0.1], [0.0, 1.0], [0.9, 0.3]]})
-    moved, centres = birth.ordered_fallback(posts, [7, 3], np.array([[1.0, 0.0], [1.0, 0.0]]), [1, 1])
-    assert moved[["id", "event_id"]].values.tolist() == [[1, 7], [3, 7]] and centres[0][1] > 0
+    moved, centres, counts = birth.ordered_fallback(posts, [7, 3], np.array([[1.0, 0.0], [1.0, 0.0]]), [1, 0])
+    assert moved[["id", "event_id"]].values.tolist() == [[1, 7], [3, 7]] and centres[0][1] > 0 and counts == [3, 1]
+    assert np.linalg.norm(centres, axis=1) == pytest.approx([1, 1])
+    assert birth.ordered_fallback(posts, [], np.zeros((0, 2)), [])[0].empty
+
+
+def test_threshold_and_versions_of_policies(spark):
+    config = spark.createDataFrame([("global_similarity_threshold", 0.62)], "key string, value double")
+    history = spark.createDataFrame([], "id long, policy_version string, knob string, old_value double, new_value double, status string, source string, rationale string, actor string, created_at timestamp")
+    knob = "global_similarity_threshold"
+    for bad in (0.49, 1.0):
+        with pytest.raises(ValueError):
+            policy.checked(knob, bad)
+    with pytest.raises(ValueError):
+        policy.checked("other", 0.7)
+    assert policy.checked(knob, 0.9) == 0.9 and policy.checked(knob, 0.5) == 0.5
+    one, log = policy.apply_change(config, history, knob, 0.7, "panel", "me", T0)
+    with pytest.raises(ValueError, match="already"):
+        policy.apply_change(one, log, knob, 0.7, "panel", "me", T0)
+    log = policy.propose_change(one, log, knob, 0.75, "autotune", None, T0)
+    two, log = policy.revert_change(one, log, 1, "me", T0)
+    assert two.first().value == 0.62
+    assert [(r.id, r.policy_version, r.old_value, r.new_value, r.status) for r in log.orderBy("id").collect()] == [(1, "policy-v1", 0.62, 0.7, "applied"), (2, "pending", None, 0.75, "proposed"), (3, "policy-v2", 0.7, 0.62, "applied")]
+    models = spark.createDataFrame([(1, "m1", "p", 0.96, 0.85, 0.01, "promoted", T0)], "id long, model_version string, adapter_path string, precision double, recall double, noise double, status string, promoted_at timestamp")
+    assert policy.promotion_verdict(models, 0.94, 0.9, 0.0) == "rejected: gates" and policy.promotion_verdict(models, 0.95, 0.81, 0.01) == "rejected: worse"
+    assert policy.promotion_verdict(models, 0.96, 0.9, 0.02) == "rejected: noise" and policy.promotion_verdict(models, 0.97, 0.9, 0.02) == "promoted"
+    after = policy.promote(models, "m2", "q", 0.97, 0.9, 0.01, T0 + timedelta(days=1))
+    assert {r.model_version: r.status for r in after.collect()} == {"m1": "retired", "m2": "promoted"}
+    assert tuple(policy.current_versions(log, after).first()) == ("policy-v3", "m2")
+    got = spark.createDataFrame([(0.80,), (0.91,), (None,), (0.99,)], "t double").select(policy.effective_threshold(F.col("t"), 0.88).alias("e")).collect()
+    assert [r.e for r in got] == [0.88, 0.91, 0.88, 0.99]
 
 
 def test_redirects(spark):
@@ -158,6 +221,9 @@ def test_merge_candidates_judge_and_greedy(spark):
     pairs = merging.merge_candidates(hubs, 2)
     assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (3, 2)}
     assert {(r.source_id, r.target_id) for r in merging.greedy_merges(pairs, hubs).collect()} == {(2, 3)}
+    three = spark.createDataFrame([(i, 5) for i in (1, 2, 3)], "id long, member_count int")
+    chain = merging.greedy_merges(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), three)
+    assert [(r.source_id, r.target_id) for r in chain.orderBy("step").collect()] == [(1, 2), (2, 3)]  # equals: the later survives, and 1 goes on as 2
     equal = spark.createDataFrame([(1, 2)], "a long, b long")
     assert {(r.source_id, r.target_id) for r in merging.greedy_merges(equal, hubs).collect()} == {(1, 2)}
     arr = "array<string>"
@@ -168,6 +234,26 @@ def test_merge_candidates_judge_and_greedy(spark):
     assert verdict(0.72, [], [], [], ["NORP:y"]) == "high_similarity"
 
 
+def test_merges_to_a_fixpoint(spark):
+    hubs = spark.createDataFrame([(i, True, "active", None, n, 0, [float(x) for x in v], T0) for i, n, v in ((1, 9, [1, 0.1]), (2, 4, [1, 0.2]), (3, 2, [0.9, 0.3]), (4, 5, [0, 1]))], "id long, is_active boolean, status string, merged_into_id long, member_count int, repost_count int, centroid array<float>, last_updated_at timestamp")
+    posts = spark.createDataFrame([(i, i, "assigned", None, None, ["x"]) for i in (1, 2, 3, 4)], "id long, event_id long, assignment_status string, deleted_at timestamp, repost_of_id long, entities array<string>")
+    p, h, done = merging.merge_to_fixpoint(posts, hubs, 2, T0)
+    assert {(r.source_id, r.target_id) for r in done.collect()} == {(2, 1), (3, 1)}
+    assert {r.id: r.event_id for r in p.collect()} == {1: 1, 2: 1, 3: 1, 4: 4} and {r.id for r in h.where("is_active").collect()} == {1, 4}
+
+
+def test_codenames(spark):
+    rows = [(1, T0, "federal-reserve-cuts", None), (2, T0 + timedelta(1), "fed-reserve", None), (3, T0, None, "the_and"), (4, T0, "", ""), (5, T0, "a-harbour-2024-fire", None)]
+    got = {r.id: r.codename for r in merging.codenames(spark.createDataFrame(rows, "id long, created_at timestamp, handle string, title string")).collect()}
+    assert got == {1: "FED-RESERVE", 2: "FED-RESERVE-2", 3: "THE-AND", 4: "HUB4", 5: "HARBOU"}
+
+
+def test_handles_are_distinct(spark):
+    rows = [(1, "a"), (2, "a"), (3, "a-2"), (4, "a"), (5, "a-2"), (6, "a-4"), (7, "a")]
+    got = {r.id: r.handle for r in ledger.numbered_names(spark.createDataFrame(rows, "id long, base string"), "id", "base").collect()}
+    assert got == {1: "a", 2: "a-3", 3: "a-2", 4: "a-5", 5: "a-2-2", 6: "a-4", 7: "a-6"} and len(set(got.values())) == 7
+
+
 def test_similar_hubs_without_a_time_window(spark):
     hubs = spark.createDataFrame([(1, True, 5, T0, [1.0, 0.0]), (2, True, 5, T0 + timedelta(days=90), [0.9, 0.1]), (3, True, 1, None, [0.95, 0.0]), (4, False, 9, T0, [1.0, 0.0]), (5, True, 1, T0, [0.0, 1.0])], "id long, is_active boolean, member_count int, last_updated_at timestamp, centroid array<float>")
     assert {(r.a, r.b) for r in merging.merge_candidates(hubs, 2, floor=0.18, gap_hours=None).collect()} == {(1, 2), (1, 3), (2, 3)}

@@ -16,6 +16,26 @@ def test_snapshots(spark, tmp_path):
     for n in range(1, 4):
         assert store.write("hubs", spark.range(n)) == n
         assert store.read("hubs").count() == n
+    spark.range(7).write.parquet(f"{store.folder}/hubs/v4")  # a writer that died before its marker
+    assert store.read("hubs").count() == 3 and store.write("hubs", spark.range(9)) == 4 and store.read("hubs").count() == 9
+    assert store.versions("hubs") == [2, 3, 4] and store.read("hubs", 2).count() == 2
+    with pytest.raises(ValueError, match="no version"):
+        store.read("hubs", 1)
+
+
+def test_ingest_updates_stored_posts(spark, tmp_path):
+    schema = "id long, user_id long, content string, embedding array<float>, entities array<string>, received_at timestamp"
+    kept = spark.createDataFrame([(1, 7, "old", None, None, T0, "pending", None, None, None, None), (3, 7, "gone", None, None, T0, "noise", None, None, None, T0)], schema + ", assignment_status string, event_id long, assignment_confidence decimal(5,4), assignment_updated_at timestamp, deleted_at timestamp")
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    store.write("posts", kept)
+    rows = [(1, 7, "first delivery", [1.0, 0.0], None, T0), (1, 7, "second delivery", [1.0, 0.0], None, T0 + timedelta(hours=1)), (2, 7, "a new post", [0.0, 1.0], None, T0), (3, 7, "again", [1.0, 0.0], None, T0)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    hubs = spark.createDataFrame([(4, [1.0, 0.0])], "id long, centroid array<float>")
+    names = spark.createDataFrame([], "event_id long, tokens array<string>")
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    pipelines.ingest_stream(stream, store, lambda: hubs, lambda: names, 2, 0.62, str(tmp_path / "c")).awaitTermination(120)
+    got = {r.id: (r.content, r.assignment_status, r.event_id) for r in store.read("posts").collect()}
+    assert got == {1: ("second delivery", "assigned", 4), 2: ("a new post", "unassigned", None), 3: ("gone", "noise", None)}
 
 
 def test_schema_drift_is_an_error(spark, tmp_path):

@@ -43,7 +43,7 @@ def near_duplicate_links(posts: DataFrame, dim: int, floor: float = 0.98, key: s
     spread = spread.select("h", F.least("b", "o").alias("left"), F.greatest("b", "o").alias("right"), "b", "k", "v")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.v.tolist(), dtype=np.float64).reshape(len(pdf), -1)
+        x = np.stack(pdf.v.to_numpy()).astype(np.float64)
         size = np.linalg.norm(x, axis=1)
         ok = np.isfinite(size) & (size > 0)
         u, k, b = x[ok] / size[ok, None], pdf.k.to_numpy()[ok], pdf.b.to_numpy()[ok]

@@ -2,7 +2,7 @@
 
 Subtree sizes are computed upward and preorder ranges downward, both by doubling the step length, so the rounds grow
 with the logarithm of the depth, not with the depth. After the last round the nodes whose pointer still leads somewhere
-are exactly those on a ring or leading into one.
+are exactly those on a ring or leading into one. Paths are built on the way down, for the others only.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def nested_sets(links: DataFrame, node: str = "id", parent: str = "parent_id", o
     # `jump` is the ancestor 2^k steps up (null beyond the root); `below` counts the descendants fewer than 2^k steps down.
     state = cut(
         raw.select("n").join(base, "n", "left").select("n", F.col("p").alias("parent"), F.col("p").alias("jump"), F.lit(1).cast("long").alias("below"),
-            F.when(F.col("p").isNull(), F.col("n")).alias("root"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.array("n").alias("path"))
+            F.when(F.col("p").isNull(), F.col("n")).alias("root"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("steps"))
     )
     live = None
     for _ in range(max_rounds):
@@ -38,20 +38,19 @@ def nested_sets(links: DataFrame, node: str = "id", parent: str = "parent_id", o
         if now == 0 or now == live:
             break
         live = now
-        up = state.select(F.col("n").alias("jump"), F.col("jump").alias("j2"), F.col("root").alias("r2"), F.col("steps").alias("s2"), F.col("path").alias("p2"))
+        up = state.select(F.col("n").alias("jump"), F.col("jump").alias("j2"), F.col("root").alias("r2"), F.col("steps").alias("s2"))
         gained = state.where("jump is not null").groupBy(F.col("jump").alias("n")).agg(F.sum("below").alias("more"))
         after = (
             state.join(up, "jump", "left").join(gained, "n", "left")
             .select("n", "parent", F.col("j2").alias("jump"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below"),
                 F.coalesce("root", "r2").alias("root"),
-                F.when(F.col("jump").isNull(), F.col("steps")).otherwise(F.col("steps") + F.col("s2")).alias("steps"),
-                F.when(F.col("jump").isNull(), F.col("path")).otherwise(F.concat("p2", "path")).alias("path"))
+                F.when(F.col("jump").isNull(), F.col("steps")).otherwise(F.col("steps") + F.col("s2")).alias("steps"))
         )
         after = cut(after)
         drop_cut(state)
         state = after
     rings = state.where("jump is not null").select("n", "parent")
-    tree = state.where("jump is null").select("n", "parent", "root", F.col("steps").alias("depth"), "path", F.col("below").alias("size"))
+    tree = state.where("jump is null").select("n", "parent", "root", F.col("steps").alias("depth"), F.col("below").alias("size"))
     left = preorder(tree, order_buckets, max_rounds)
     done = tree.join(left, "n").select(
         F.col("n").alias(node), F.col("parent").alias(parent), F.col("root").alias("root"), F.col("depth").cast("long"), "path", "size",
@@ -63,7 +62,7 @@ def nested_sets(links: DataFrame, node: str = "id", parent: str = "parent_id", o
 
 
 def preorder(tree: DataFrame, buckets: int, max_rounds: int) -> DataFrame:
-    """`tree(n, parent, size)` -> `(n, left_at)`: preorder position under the node's root, the root at 1.
+    """`tree(n, parent, size)` -> `(n, left_at, path)`: preorder position under the node's root, the root at 1, and the path.
 
     A child's offset is 1 plus the sizes of its earlier siblings. Siblings are summed in two levels (within an id
     bucket, then over the bucket totals), so the children of one huge parent are spread over `buckets` tasks.
@@ -76,17 +75,18 @@ def preorder(tree: DataFrame, buckets: int, max_rounds: int) -> DataFrame:
     ahead = totals.withColumn("ahead", F.coalesce(F.sum("t").over(Window.partitionBy("parent").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
     kids = kids.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, ["parent", "b"])
     state = cut(
-        kids.select("n", F.col("parent").alias("jump"), (F.col("within") + F.col("ahead") + 1).alias("left_at"))
-        .unionByName(tree.where("parent is null").select("n", F.lit(None).cast("long").alias("jump"), F.lit(1).cast("long").alias("left_at")))
+        kids.select("n", F.col("parent").alias("jump"), (F.col("within") + F.col("ahead") + 1).alias("left_at"), F.array("n").alias("path"))
+        .unionByName(tree.where("parent is null").select("n", F.lit(None).cast("long").alias("jump"), F.lit(1).cast("long").alias("left_at"), F.array("n").alias("path")))
     )
     for _ in range(max_rounds):
         if state.where("jump is not null").isEmpty():
             break
-        up = state.select(F.col("n").alias("jump"), F.col("jump").alias("j2"), F.col("left_at").alias("l2"))
-        after = cut(state.join(up, "jump", "left").select("n", F.col("j2").alias("jump"), (F.col("left_at") + F.coalesce("l2", F.lit(0))).alias("left_at")))
+        up = state.select(F.col("n").alias("jump"), F.col("jump").alias("j2"), F.col("left_at").alias("l2"), F.col("path").alias("p2"))
+        path = F.when(F.col("jump").isNull(), F.col("path")).otherwise(F.concat("p2", "path"))
+        after = cut(state.join(up, "jump", "left").select("n", F.col("j2").alias("jump"), (F.col("left_at") + F.coalesce("l2", F.lit(0))).alias("left_at"), path.alias("path")))
         drop_cut(state)
         state = after
-    return state.select("n", "left_at")
+    return state.select("n", "left_at", "path")
 
 
 def ancestor_pairs(sets: DataFrame, node: str = "id") -> DataFrame:

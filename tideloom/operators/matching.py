@@ -43,35 +43,48 @@ def match_top2(posts: DataFrame, hubs: DataFrame, dim: int, post_key: str = "id"
     schema = "post_id long, h long, s double"
     parts: list[DataFrame] = []
 
-    def block(ids: list[int], vectors: list[list[float]]) -> None:
-        c = np.array(vectors, dtype=np.float64).reshape(len(ids), dim)
-        length = np.linalg.norm(c, axis=1)
-        good = np.isfinite(length) & (length > 0)
-        order = np.argsort(np.array(ids)[good], kind="stable")
-        sent = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64)[good][order], (c[good] / length[good, None])[order]))
+    def packed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Usable hubs as rows of bytes: ids, then unit vectors as doubles."""
+        for b in stream:
+            c = _rows(b.column(1)) if b.num_rows else np.zeros((0, dim))
+            length = np.linalg.norm(c, axis=1)
+            good = np.isfinite(length) & (length > 0)
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy()[good].tobytes()], pa.binary()), pa.array([(c[good] / length[good, None]).tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    def block(ids: list[np.ndarray], vectors: list[np.ndarray]) -> None:
+        names = np.concatenate(ids)
+        order = np.argsort(names, kind="stable")
+        sent = spark.sparkContext.broadcast((names[order], np.concatenate(vectors)[order]))
 
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hub_ids, centres = sent.value
             for b in stream:
-                if not b.num_rows or not len(hub_ids):
+                if not b.num_rows:
                     continue
                 x = _rows(b.column(1))
                 size = np.linalg.norm(x, axis=1)
                 ok = np.isfinite(size) & (size > 0)
                 keys = b.column(0).to_numpy()[ok]
-                s = (x[ok] / size[ok, None]) @ centres.T
-                top = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :2]
-                m = top.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, m)), pa.array(hub_ids[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], names=["post_id", "h", "s"])
+                s = np.round((x[ok] / size[ok, None]) @ centres.T, 12)
+                first = s.argmax(axis=1) if len(s) else np.zeros(0, int)  # of equals the smaller id
+                at = np.arange(len(s))
+                best = [(first, s[at, first])]
+                if s.shape[1] > 1:
+                    s[at, first] = -9
+                    second = s.argmax(axis=1) if len(s) else first
+                    best.append((second, s[at, second]))
+                for place, sims in best:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hub_ids[place]), pa.array(sims)], names=["post_id", "h", "s"])
 
         parts.append(lean.where(F.size("v") == dim).mapInArrow(run, schema))
 
-    ids: list[int] = []
-    vectors: list[list[float]] = []
-    for row in usable.toLocalIterator():  # at most HUB_BLOCK rows are held
-        ids.append(row.h)
-        vectors.append(row.c)
-        if len(ids) == HUB_BLOCK:
+    ids: list[np.ndarray] = []
+    vectors: list[np.ndarray] = []
+    for row in usable.mapInArrow(packed, "ids binary, vectors binary").toLocalIterator():  # at most HUB_BLOCK hubs and one batch are held
+        ids.append(np.frombuffer(row.ids, np.int64))
+        vectors.append(np.frombuffer(row.vectors, np.float64).reshape(-1, dim))
+        if sum(map(len, ids)) >= HUB_BLOCK:
             block(ids, vectors)
             ids, vectors = [], []
     if ids:

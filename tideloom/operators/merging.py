@@ -60,7 +60,7 @@ def merge_candidates(hubs: DataFrame, dim: int, floor: float = DEFAULT.merge_ent
     blocks = blocks.select("win", F.least("b", "o").alias("left"), F.greatest("b", "o").alias("right"), "b", "k", "m", "t", "w", "v")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf.v.tolist(), dtype=np.float64)
+        x = np.stack(pdf.v.to_numpy()).astype(np.float64)
         size = np.linalg.norm(x, axis=1)
         ok = np.isfinite(size) & (size > 0)
         pdf, u = pdf[ok], x[ok] / size[ok, None]
