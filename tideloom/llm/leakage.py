@@ -95,7 +95,7 @@ def _grams(tokens: list[str], n: int) -> list[str]:
     return [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_words: int = 12, seed_words: int = 5, min_share: float = 0.5, passage_share: float = 0.82) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_words: int = 12, seed_words: int = 5, min_share: float = 0.5, passage_share: float = 0.82, own_share: float = 0.72, own_words: int = 3, own_grams: int = 3) -> DataFrame:
     """`(doc_key, item_key, exact_run, score, share, verbatim)` for every document that holds a passage of an item.
 
     A pair is reported if the document holds `exact_words` consecutive words of the item (`verbatim`), or an edited
@@ -104,11 +104,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
     that text less alike ends the path, as like sentences around it would hide it. `score` is that of the best path with
     cheap edits; `share` is of that path, or for an edited passage of the denser one.
 
+    Text less alike, down to `own_share`, is still reported if it holds `own_grams` different runs of `own_words` words
+    that no other item has: common sentences of the items have none, an edited copy keeps some.
+
     Verbatim seeds: of the n-grams of each window of `exact_words` words the one in fewest documents, counted over the
     whole corpus; a window with an n-gram in no document cannot occur verbatim, so these lose nothing. Edited passages
     are seeded by every n-gram of the item, as the rarest ones may stand in another copy only; a seeded document is
     aligned if some stretch of it has enough words of the item (`dense`), which every edited passage has. An edited
-    passage without `seed_words` unedited words in a row is not found. Items shorter than `exact_words` can only be
+    passage without `seed_words` unedited words in a row is found by its own runs only. Items shorter than `exact_words` can only be
     reported by alignment; those shorter than a seed are seeded by all their words.
 
     Null or empty texts hold nothing; null keys are dropped; repeated rows give one row; empty tables give an empty
@@ -116,6 +119,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
     """
     if not 0 < passage_share < 1:
         raise ValueError("passage_share must be between 0 and 1")
+    if not 0 < own_share <= passage_share:
+        raise ValueError("own_share must be between 0 and passage_share")
     if seed_words > exact_words:
         raise ValueError("seed_words must not exceed exact_words")
     spark = docs.sparkSession
@@ -162,12 +167,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
                 if g in held:
                     every[g].append(at)
         loose = spark.sparkContext.broadcast(dict(every))
+        holders: dict[str, int] = {}
+        for at, (_, w) in enumerate(block):
+            for g in set(_grams(w, own_words)):
+                holders[g] = at if holders.get(g, at) == at else -1
+        single = spark.sparkContext.broadcast({g: at for g, at in holders.items() if at >= 0})
 
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            asked, table, parts = sent.value, index.value, loose.value
-            keys = parts.keys()
+            asked, table, parts, owner = sent.value, index.value, loose.value, single.value
+            keys, own_keys = parts.keys(), owner.keys()
             sizes = sorted({g.count(" ") + 1 for g in keys})
-            strict = max(1, int(2 * passage_share / (1 - passage_share)))
+            strict, milder = (max(1, int(2 * x / (1 - x))) for x in (passage_share, own_share))
             vocabulary = [set(w) for _, w in asked]
             least = [min(2 * exact_words, min_share * len(w)) for _, w in asked]
             for pdf in batches:
@@ -180,10 +190,18 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
                         for g in keys & set(_grams(w, n)):
                             hit.update(table.get(g, ()))
                             near.update(parts[g])
-                    near = {at for at in near if dense([x in vocabulary[at] for x in w], least[at], passage_share)}
-                    for at in sorted(hit | near):
+                    runs: dict[int, int] = defaultdict(int)
+                    for g in own_keys & set(_grams(w, own_words)):
+                        runs[owner[g]] += 1
+                    kept = {at for at, n in runs.items() if n >= own_grams}
+                    seen = {at: [x in vocabulary[at] for x in w] for at in near | kept}
+                    near = {at for at in near if dense(seen[at], least[at], passage_share)}
+                    kept = {at for at in kept if dense(seen[at], least[at], own_share)}
+                    for at in sorted(hit | near | kept):
                         i, item = asked[at]
                         edited = at in near and dense(path := passage(w, item, 2, -strict, -strict)[1], least[at], passage_share)
+                        if not edited and at in kept:
+                            edited = dense(path := passage(w, item, 2, -milder, -milder)[1], least[at], own_share)
                         if not edited and at not in hit:
                             continue
                         score, share, longest = align(w, item)
