@@ -95,7 +95,7 @@ def _grams(tokens: list[str], n: int) -> list[str]:
     return [" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_words: int = 12, seed_words: int = 5, min_share: float = 0.5, passage_share: float = 0.82, own_share: float = 0.72, own_words: int = 3, own_grams: int = 3) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", exact_words: int = 12, seed_words: int = 5, min_share: float = 0.5, passage_share: float = 0.82, own_share: float = 0.76, own_words: int = 3, own_grams: int = 3) -> DataFrame:
     """`(doc_key, item_key, exact_run, score, share, verbatim)` for every document that holds a passage of an item.
 
     A pair is reported if the document holds `exact_words` consecutive words of the item (`verbatim`), or an edited
