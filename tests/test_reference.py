@@ -126,6 +126,10 @@ def test_knn_and_communities(spark):
     rows = [(1, 0, [1.0, 0.0], T0), (2, 0, [1.0, 0.0], T0 + timedelta(minutes=30)), (3, 0, [0.0, 1.0], T0)]
     got = birth.knn_graph(spark.createDataFrame(rows, "id long, slice_id long, embedding array<float>, created_at timestamp")).collect()
     assert [(r.src, r.dst) for r in got] == [(1, 2)] and 0.95 <= got[0].weight <= 1
+    rnd = np.random.default_rng(1)
+    many = spark.createDataFrame([(i, i % 2, [float(z) for z in rnd.normal(size=3)], T0 + timedelta(minutes=i)) for i in range(60)], "id long, slice_id long, embedding array<float>, created_at timestamp")
+    whole, parts = ({(r.src, r.dst, round(r.weight, 9)) for r in birth.knn_graph(many, block=b).collect()} for b in (4096, 7))
+    assert whole == parts and len(whole) > 50
     clique = lambda a: [(i, j, 1.0) for i in a for j in a if i < j]
     found = birth.louvain([99], clique([1, 2, 3, 4]) + clique([5, 6, 7, 8]) + [(4, 5, 0.1)])
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5, 99: 99}
