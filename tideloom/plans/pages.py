@@ -220,6 +220,23 @@ def authenticated(consumers: DataFrame, calls: DataFrame, as_of: datetime | str)
     return found, seen.select(*[F.when(move, t).otherwise(F.col(c)).alias(c) if c == "last_used_at" else F.col(c) for c in consumers.columns])
 
 
+def with_consumer(consumers: DataFrame, consumer_id: str, name: str, token: str, limit: int | None, at: datetime | str) -> DataFrame:
+    """Consumers with one more, whose token is kept as its hash only; a known id or name is an error."""
+    if not consumers.where((F.col("consumer_id") == consumer_id) | (F.col("name") == name)).isEmpty():
+        raise ValueError(f"consumer {consumer_id} exists")
+    value = {"id": F.col("id"), "consumer_id": F.lit(consumer_id), "name": F.lit(name), "token_hash": token_hash(F.lit(token)), "is_active": F.lit(True), "rate_limit_per_minute": F.lit(limit), "created_at": F.lit(at).cast("timestamp")}
+    last = consumers.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
+    return consumers.unionByName(last.select(*[value.get(c, F.lit(None)).cast(t).alias(c) for c, t in consumers.dtypes]))
+
+
+def toggled(consumers: DataFrame, consumer_id: str) -> DataFrame:
+    return consumers.withColumn("is_active", F.when(F.col("consumer_id") == consumer_id, ~F.col("is_active")).otherwise(F.col("is_active")))
+
+
+def without_consumer(consumers: DataFrame, consumer_id: str) -> DataFrame:
+    return consumers.where(F.col("consumer_id") != consumer_id)
+
+
 def rate_limited(calls: DataFrame, consumer: str, at: str, limit: Column) -> DataFrame:
     """Add `allowed`: at most `limit` calls of a consumer in each clock minute, in order of time."""
     w = Window.partitionBy(consumer, F.date_trunc("minute", F.col(at))).orderBy(at, *[c for c in ("id",) if c in calls.columns])

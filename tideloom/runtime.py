@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,3 +98,24 @@ def first_delivery(posts: DataFrame) -> DataFrame:
 def latest_hub(hubs: DataFrame) -> DataFrame:
     """One row per hub: the row with the latest `last_updated_at`; exact double rows count once."""
     return one_row_per_key(hubs, "id", [F.col("last_updated_at").desc_nulls_last()])
+
+
+@contextmanager
+def single_runner(spark: SparkSession, job: str) -> Iterator[bool]:
+    """Whether this driver is the only one to run `job` now: a lock file in the shared folder, removed at the end.
+
+    It does not wait; a driver that died leaves its lock, which names its application and is removed by hand.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lock-{job}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(path, False)
+    except Exception:  # noqa: BLE001  the file is there: another driver holds the lock
+        yield False
+        return
+    out.write(bytearray(spark.sparkContext.applicationId.encode()))
+    out.close()
+    try:
+        yield True
+    finally:
+        fs.delete(path, False)
