@@ -155,8 +155,9 @@ def purified(parts: list[tuple[str, str]], order: int = ORDER, folds: int = 3, r
     """Trees from labelled sentences whose labels may be wrong, with the scale of their confidences.
 
     Each round fits trees on all folds but one (a text's sentences are in one fold) and rates the sentences of that one
-    by them. A sentence takes another label only if the evidence outweighs a label that is right as often as the labels
-    of the sample are; sentences whose label and evidence still disagree stay out of the fit. The held-out code lengths
+    by them. The label of a sentence is the language for which its given label, weighed by how often the labels of the
+    sample are right, and the evidence speak most; equal sentences have one label, for which all their given labels
+    count. Sentences for which two languages come close stay out of the fit. The held-out code lengths
     give `scale`, by which a bit counts as evidence (bytes of a text depend on each other), and `label_noise`, the share
     of the given labels that is explained by chance: both by maximum likelihood of the labels as given. `held_out` is
     the share of held-out sentences rated as their given label says.
@@ -167,6 +168,9 @@ def purified(parts: list[tuple[str, str]], order: int = ORDER, folds: int = 3, r
     texts = [fold(letters(x)) for _, x in parts]
     given = np.array([langs.index(lang) for lang, _ in parts])
     part = np.arange(len(parts)) * folds // len(parts)  # sentences of a text stand together
+    text_of = pd.factorize(pd.Series(texts))[0]
+    votes = np.zeros((text_of.max() + 1, len(langs)))
+    np.add.at(votes, (text_of, given), 1)
 
     def build(rows: np.ndarray, label: np.ndarray) -> ContextTrees:
         by: dict[str, list[str]] = {lang: [" "] for lang in langs}
@@ -176,7 +180,6 @@ def purified(parts: list[tuple[str, str]], order: int = ORDER, folds: int = 3, r
 
     label, sure = given.copy(), np.ones(len(texts), bool)
     bits = np.zeros((len(texts), len(langs)))
-    at = np.arange(len(texts))
     for _ in range(rounds):
         for f in range(folds):
             rest, mine = np.nonzero((part != f) & sure)[0], np.nonzero(part == f)[0]
@@ -184,10 +187,17 @@ def purified(parts: list[tuple[str, str]], order: int = ORDER, folds: int = 3, r
                 bits[mine] = build(rest, label).lengths([texts[i] for i in mine.tolist()])
         scale, noise = calibrated(bits, given)
         best = bits.argmin(axis=1)
-        lead = scale * (bits[at, given] - bits[at, best])  # against what a label that is right this often weighs
-        given_weighs = np.log2((1 - noise) / (max(noise, 0.01) / (len(langs) - 1)))
-        label = np.where(lead > given_weighs, best, given)
-        sure = (label == best)
+        # How often a text of each language bears each label, by the evidence alone: wrong labels are no even mixture.
+        borne = np.ones((len(langs), len(langs)))
+        np.add.at(borne, (given, best), 1)
+        told = np.log2(borne / borne.sum(axis=1, keepdims=True))
+        # Equal sentences have one language: all their labels vote, and their bits count once.
+        mean = np.zeros(votes.shape)
+        np.add.at(mean, text_of, bits)
+        score = votes @ told - scale * mean / votes.sum(axis=1, keepdims=True)
+        label = score.argmax(axis=1)[text_of]
+        ranked = np.sort(score, axis=1)
+        sure = (ranked[:, -1] - ranked[:, -2] > 3)[text_of]  # eight to one
     trees = build(np.nonzero(sure)[0], label)
     trees.scale, trees.label_noise = scale, noise
     trees.held_out = float((bits.argmin(axis=1) == given).mean())
