@@ -287,7 +287,10 @@ def redacted(docs: DataFrame, names: DataFrame, key: str, text: str, secret: byt
     """
     spark = docs.sparkSession
     found = cut(mentions(docs, names, key, text))
-    canon = F.udf(same_entity, "string").asNondeterministic()
+    def common(kind: pd.Series, mention: pd.Series) -> pd.Series:
+        return pd.Series([same_entity(k, m) for k, m in zip(kind, mention)], dtype=object)
+
+    canon = F.pandas_udf(common, "string").asNondeterministic()
     tagged = cut(found.withColumn("entity", canon("kind", "mention")))
     entities = tagged.groupBy("kind", "entity").agg(F.min("mention").alias("model")).withColumn("attempt", F.lit(0))
     if style == "placeholder":
