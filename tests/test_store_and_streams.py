@@ -77,6 +77,19 @@ def test_ingest_stream(spark, tmp_path):
     assert [(r.post_id, r.status, r.event_id) for r in got] == [(1, "assigned", 4)]
 
 
+def test_periods_close_with_their_late_records(spark, tmp_path):
+    m = lambda n: T0 + timedelta(minutes=n)
+    batches = [[(1, m(5), m(6)), (2, m(50), m(80))], [(3, m(20), m(95)), (4, m(70), m(71))], [(5, m(3000), m(3001))], [(7, m(3010), m(3011))], [(6, m(30), m(3012))], [(8, m(3011), m(3013))]]  # a cut-off takes hold a trigger after it is known
+    schema = "id long, at timestamp, got timestamp"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = pipelines.period_stream(stream, "at", "got").writeStream.format("memory").queryName("periods").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    closed = {r.period_start: (r.n, r.late) for r in spark.table("periods").collect()}
+    assert closed == {T0: (3, 2), T0 + timedelta(hours=1): (1, 0)}  # the sixth record came after its hour was closed
+
+
 def test_rollup_stream_plan(spark):
     rate = spark.readStream.format("rate").load().select(F.col("timestamp").alias("created_at"), F.lit("assigned").alias("status"))
     assert pipelines.rollup_stream(rate).columns == ["window_start", "total", "assigned"]
