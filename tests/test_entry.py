@@ -11,10 +11,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tideloom.plans import general_queries, reference_queries
+from tideloom.plans import control_queries, general_queries, reference_queries
 
 SF = "/root/testdata/sf0.001"
-CORE = {**general_queries.SQL, **reference_queries.SQL}
+CORE = {**general_queries.SQL, **reference_queries.SQL, **control_queries.SQL}
 
 
 def test_names_agree():
