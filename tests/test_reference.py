@@ -80,6 +80,44 @@ def test_match_top2_ties_and_missing(spark):
     assert len(empty) == 5 and all(r.sim is None for r in empty)
 
 
+def test_match_top2_holds_a_slice_of_the_cosines(spark):
+    n = 20_000  # one batch of 10,000 posts against one block: all cosines at once are 1.6 GB
+    posts = spark.range(10_000).select("id", F.array(F.cos("id"), F.sin("id"), F.lit(0.5)).cast("array<float>").alias("embedding")).coalesce(1)
+    hubs = spark.range(n).select("id", F.array(F.cos(F.col("id") / n), F.sin(F.col("id") / n), F.col("id") / n).cast("array<float>").alias("centroid"))
+    assert matching.match_top2(posts, hubs, 3).where("event_id is not null and runner_id is not null").count() == 10_000
+
+    def peak(stream):
+        import resource
+        import time
+
+        import pyarrow as pa
+
+        for _ in stream:
+            time.sleep(0.3)  # so that every worker is asked
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])], names=["kb"])
+
+    most = spark.range(0, 8, 1, 8).mapInArrow(peak, "kb long").agg(F.max("kb")).first()[0]
+    assert most < 1_000_000, f"a worker held {most >> 10} MB"
+
+
+def test_best_two_decides_in_double():
+    rng = np.random.default_rng(3)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x, base = unit(rng.normal(size=(40, 384))), rng.normal(size=(500, 384))
+    near = x[0] + rng.normal(size=(100, 384)) * 1e-5  # more near ties than are taken singly
+    few = x[1] + rng.normal(size=(10, 384)) * 1e-5
+    for hubs in (np.concatenate([base, near, few, base[:5], few]), base[:1], base[:2], np.repeat(base[:1], 50, axis=0)):
+        wide = unit(hubs)
+        got: dict[int, list] = {}
+        for row, place, sim in matching.best_two(x, wide, wide.astype(np.float32)):
+            for r, p, s in zip(row.tolist(), place.tolist(), sim.tolist()):
+                got.setdefault(r, []).append((p, s))
+        s = np.round(x @ wide.T, 12)
+        want = {r: [(int(p), s[r, p]) for p in np.lexsort((np.arange(len(wide)), -s[r]))[:2]] for r in range(len(x))}
+        assert {r: [p for p, _ in v] for r, v in got.items()} == {r: [p for p, _ in v] for r, v in want.items()}
+        assert all(abs(a[1] - b[1]) < 1e-11 for r in want for a, b in zip(got[r], want[r]))
+
+
 def test_tiebreak_and_veto(spark):
     m = spark.createDataFrame([(1, 10, 0.60, 11, 0.58), (2, 10, 0.90, 11, 0.1), (3, 10, 0.60, 11, 0.58)], "post_id long, event_id long, sim double, runner_id long, runner_sim double")
     e = spark.createDataFrame([(1, ["ORG:b"]), (2, ["ORG:b"]), (3, None)], "post_id long, entities array<string>")

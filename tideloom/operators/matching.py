@@ -15,6 +15,10 @@ from tideloom.functions.text import entities_conflict, identity_tokens
 
 #: Hub vectors held by a task at once, in rows; more hubs are matched block by block.
 HUB_BLOCK = 20_000
+#: Posts multiplied with a block at once, so the matrix of cosines stays at `POST_SLICE` x `HUB_BLOCK` however long a batch is.
+POST_SLICE = 256
+#: Hubs of one post whose cosine is taken anew in double; a post with more near ties is multiplied in double as a whole.
+NEAR_TIES = 32
 
 
 def fresh_hubs(hubs: DataFrame, as_of: datetime, hours: float = DEFAULT.hub_freshness_hours) -> DataFrame:
@@ -30,12 +34,49 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def best_two(x: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, place, cosine) of the best and of the second best of `wide` for unit rows `x`; ties go to the smaller place.
+
+    `narrow` is `wide` in single precision: its product is off by a known bound at most, so all that may be among the
+    best two in double is within twice that bound of the second, and only those cosines are taken in double.
+    """
+    s = x.astype(np.float32) @ narrow.T
+    at = np.arange(len(x))
+    if s.shape[1] > 2:
+        first = s.argmax(axis=1)
+        top = s[at, first]
+        s[at, first] = -9
+        floor = s.max(axis=1)
+        s[at, first] = top
+        near = s >= (floor - np.float32(4 * (x.shape[1] + 8) * 2.0**-24))[:, None]
+    else:
+        near = np.ones(s.shape, bool)
+    del s
+    many = np.count_nonzero(near, axis=1) > NEAR_TIES
+    r, c = np.nonzero(near & ~many[:, None])
+    v = np.round(np.einsum("ij,ij->i", x[r], wide[c]), 12)
+    order = np.lexsort((c, -v, r))
+    r, c, v = r[order], c[order], v[order]
+    start = np.searchsorted(r, at[~many])
+    out = [(r[start], c[start], v[start])]
+    start = start[np.count_nonzero(near[~many], axis=1) > 1] + 1
+    out.append((r[start], c[start], v[start]))
+    for rows in np.array_split(at[many], -(-int(many.sum()) // 64)) if many.any() else []:
+        d = np.round(x[rows] @ wide.T, 12)
+        for _ in range(2):
+            best = d.argmax(axis=1)  # of equals the smaller place
+            here = np.arange(len(rows))
+            out.append((rows, best, d[here, best]))
+            d[here, best] = -9
+    return out
+
+
 def match_top2(posts: DataFrame, hubs: DataFrame, dim: int, post_key: str = "id", post_vector: str = "embedding", hub_key: str = "id", hub_vector: str = "centroid") -> DataFrame:
     """`(post_id, event_id, sim, runner_id, runner_sim)` for every post, the two most similar hubs by cosine.
 
     Ties go to the smaller hub id. Posts without a usable vector, and all posts if there are no hubs, get nulls; hubs
-    without one are passed over. Hubs travel to the tasks in blocks of `HUB_BLOCK`, each a matrix product against the
-    posts, and the blocks' best two are merged by key, so neither side has to fit into one task.
+    without one are passed over. Hubs travel to the tasks in blocks of `HUB_BLOCK`, each a matrix product against
+    `POST_SLICE` posts at a time, and the blocks' best two are merged by key, so neither side has to fit into one task.
     """
     spark = posts.sparkSession
     lean = posts.select(F.col(post_key).cast("long").alias("post_id"), F.col(post_vector).alias("v"))
@@ -59,23 +100,19 @@ def match_top2(posts: DataFrame, hubs: DataFrame, dim: int, post_key: str = "id"
 
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hub_ids, centres = sent.value
-            for b in stream:
-                if not b.num_rows:
-                    continue
-                x = _rows(b.column(1))
-                size = np.linalg.norm(x, axis=1)
-                ok = np.isfinite(size) & (size > 0)
-                keys = b.column(0).to_numpy()[ok]
-                s = np.round((x[ok] / size[ok, None]) @ centres.T, 12)
-                first = s.argmax(axis=1) if len(s) else np.zeros(0, int)  # of equals the smaller id
-                at = np.arange(len(s))
-                best = [(first, s[at, first])]
-                if s.shape[1] > 1:
-                    s[at, first] = -9
-                    second = s.argmax(axis=1) if len(s) else first
-                    best.append((second, s[at, second]))
-                for place, sims in best:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hub_ids[place]), pa.array(sims)], names=["post_id", "h", "s"])
+            narrow = centres.astype(np.float32)
+            for whole in stream:
+                found = []
+                for lo in range(0, whole.num_rows, POST_SLICE):
+                    b = whole.slice(lo, POST_SLICE)
+                    x = _rows(b.column(1))
+                    size = np.linalg.norm(x, axis=1)
+                    ok = np.isfinite(size) & (size > 0)
+                    keys = b.column(0).to_numpy()[ok]
+                    if len(keys):
+                        found += [(keys[row], hub_ids[place], sims) for row, place, sims in best_two(x[ok] / size[ok, None], centres, narrow)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["post_id", "h", "s"])
 
         parts.append(lean.where(F.size("v") == dim).mapInArrow(run, schema))
 
