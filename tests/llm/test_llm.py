@@ -572,3 +572,39 @@ def test_code_lengths_are_sums_of_positive_costs():
     trees = language.ContextTrees({"en": SENTENCES["en"], "de": SENTENCES["de"]})
     bits = trees.lengths(["the council", "der rat tagt", "zzzz qqqq", ""])
     assert (bits[:3] > 0).all() and bits[0][trees.langs.index("en")] < bits[0][trees.langs.index("de")] and bits[1].argmin() == trees.langs.index("de")
+
+
+def test_components_pass_over_unrelated_rows():
+    class Counted(np.ndarray):
+        work = 0
+
+        def __matmul__(self, other):
+            Counted.work += int(np.prod(self.shape)) * (other.shape[1] if other.ndim > 1 else 1)
+            return np.asarray(self) @ np.asarray(other)
+
+    rng = np.random.default_rng(6)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    event = np.repeat(np.arange(60), 100)[rng.permutation(6_000)]
+    u = unit(unit(rng.normal(size=(60, 384)))[event] * 0.85 + unit(rng.normal(size=(6_000, 384))) * 0.527).astype(np.float32)
+    label = similarity_clusters.components(u.view(Counted), 0.62)
+    first = np.unique(event, return_index=True)[1]
+    assert (label == first[event]).all()
+    assert Counted.work < 0.2 * 6_000**2 / 2 * 384  # without passing over: every row against every row not reached
+
+
+def test_components_of_chains_and_scattered_rows():
+    rng = np.random.default_rng(7)
+    turn = np.concatenate([np.arange(0, 3, 0.02), 3.6 + np.arange(0, 1, 0.3)])  # a chain and a second one, 0.6 and more apart
+    flat = np.stack([np.cos(turn), np.sin(turn), np.zeros(len(turn))], axis=1)
+    loose = rng.normal(size=(1_500, 3))
+    for x, least in ((flat, np.cos(0.5)), (loose, 0.999), (loose, 0.9999), (loose, -0.5), (np.repeat(loose[:40], 30, axis=0), 0.99)):
+        u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(len(x))]
+        near = u @ u.T >= least
+        want = np.arange(len(u))
+        while True:
+            lower = np.where(near, want[None, :], len(u)).min(axis=1)
+            lower = np.minimum(lower, want)
+            if (lower == want).all():
+                break
+            want = lower
+        assert (similarity_clusters.components(u, least) == want).all()

@@ -198,40 +198,57 @@ def anchors(rows: DataFrame, dim: int, near: float, max_leaves: int, fan_in: int
     return unpack(got[0].leaves)[0] if got else np.zeros((0, dim), np.float32)
 
 
+def reached(v: np.ndarray, front: np.ndarray, is_open: np.ndarray, least: float, toward: np.ndarray) -> np.ndarray:
+    """The open rows of `v` with cosine >= `least` to a row of `front`; they are closed in `is_open`.
+
+    `toward` has the cosine of every row to some direction: two rows can be that near only if their angles to it differ by
+    no more than the angle of `least`. The front goes in slices, nearest to the direction first, each against the rows
+    within its reach, so with the mean of a dense cluster unrelated rows meet its loose end only.
+    """
+    front = front[np.argsort(-toward[front], kind="stable")]
+    reach = np.arccos(np.clip(least, -1, 1)) + 5e-3  # angles near 0 are off by 1e-3 in single precision
+    out = []
+    for lo in range(0, len(front), 64):
+        part = front[lo : lo + 64]
+        widest = np.arccos(np.clip(toward[part[-1]], -1, 1)) + reach
+        near = np.nonzero(is_open & (toward >= np.cos(widest)) if widest < np.pi else is_open)[0]
+        if not len(near):
+            continue
+        if 2 * len(near) > len(v):
+            hit = np.nonzero((v[part] @ v.T >= least).any(axis=0) & is_open)[0]
+        else:
+            hit = near[(v[part] @ v[near].T >= least).any(axis=0)]
+        is_open[hit] = False
+        out.append(hit)
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
 def components(u: np.ndarray, least: float) -> np.ndarray:
     """Label of each row's component under cosine >= `least`: breadth first, each row once against those not reached."""
     label = np.full(len(u), -1)
     rest = np.arange(len(u))
-    ahead = 0
-    guess: np.ndarray | None = None
     while len(rest):
-        if guess is None or ahead >= guess.shape[0]:
-            guess, ahead, lead = u[rest[:256]] @ u[rest].T >= least, 0, rest  # a block of seeds against all that are left
-            seeds = rest[:256]
-        seed = seeds[ahead]
-        if label[seed] >= 0:
-            ahead += 1
-            if ahead >= len(seeds):
-                rest, guess = rest[label[rest] < 0], None
-            continue
-        front = lead[guess[ahead]]
-        front = front[label[front] < 0]
-        label[seed] = seed
-        label[front] = seed
-        front = front[front != seed]
-        open_rows = None
-        while len(front):
-            if open_rows is None:
-                open_rows = rest[label[rest] < 0]
-            hit = np.zeros(len(open_rows), bool)
-            for lo in range(0, len(front), 512):
-                hit |= (u[front[lo : lo + 512]] @ u[open_rows].T >= least).any(axis=0)
-            front = open_rows[hit]
-            label[front] = seed
-            open_rows = open_rows[~hit]
-        ahead += 1
-        if ahead >= len(seeds):
-            rest, guess = rest[label[rest] < 0], None
+        v = u[rest] if len(rest) < len(u) else u
+        guess = v[:256] @ v.T >= least  # a block of seeds against all that are left
+        # Seeds with others to reach and no link to an earlier seed: the mean directions of what they are linked to.
+        heads = [i for i in np.nonzero(guess.sum(axis=1) > 1)[0].tolist() if not guess[i, :i].any()]
+        means = [v[guess[i]].sum(axis=0, dtype=np.float64) for i in heads]
+        toward = dict(zip(heads, unit(np.array(means)) @ v.T if heads else ()))
+        is_open = np.ones(len(rest), bool)
+        for i in range(len(guess)):
+            if not is_open[i]:
+                continue
+            is_open[i] = False
+            label[rest[i]] = rest[i]
+            front = np.nonzero(guess[i] & is_open)[0]
+            is_open[front] = False
+            along = toward.get(i)
+            while len(front):
+                label[rest[front]] = rest[i]
+                if along is None or len(front) > 256:
+                    along = v @ unit(v[front].sum(axis=0, dtype=np.float64)[None])[0]
+                front = reached(v, front, is_open, least, along)
+        rest = rest[is_open]
     return label
 
 
