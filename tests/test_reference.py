@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tideloom.functions import text as tx
 from tideloom.functions import vectors as vx
 from tideloom.operators import birth, folding, ledger, matching, merging, policy, quality
+from tideloom.plans import control_queries, reference_queries
 
 T0 = datetime(2026, 3, 1, 10)
 
@@ -80,11 +81,8 @@ def test_match_top2_ties_and_missing(spark):
     assert len(empty) == 5 and all(r.sim is None for r in empty)
 
 
-def test_match_top2_holds_a_slice_of_the_cosines(spark):
-    n = 20_000  # one batch of 10,000 posts against one block: all cosines at once are 1.6 GB
-    posts = spark.range(10_000).select("id", F.array(F.cos("id"), F.sin("id"), F.lit(0.5)).cast("array<float>").alias("embedding")).coalesce(1)
-    hubs = spark.range(n).select("id", F.array(F.cos(F.col("id") / n), F.sin(F.col("id") / n), F.col("id") / n).cast("array<float>").alias("centroid"))
-    assert matching.match_top2(posts, hubs, 3).where("event_id is not null and runner_id is not null").count() == 10_000
+def worker_peak(spark) -> int:
+    """The most memory, in KB, that a Python worker of the session has held."""
 
     def peak(stream):
         import resource
@@ -96,7 +94,28 @@ def test_match_top2_holds_a_slice_of_the_cosines(spark):
             time.sleep(0.3)  # so that every worker is asked
             yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss])], names=["kb"])
 
-    most = spark.range(0, 8, 1, 8).mapInArrow(peak, "kb long").agg(F.max("kb")).first()[0]
+    return spark.range(0, 8, 1, 8).mapInArrow(peak, "kb long").agg(F.max("kb")).first()[0]
+
+
+def test_match_top2_holds_a_slice_of_the_cosines(spark):
+    n = 20_000  # one batch of 10,000 posts against one block: all cosines at once are 1.6 GB
+    posts = spark.range(10_000).select("id", F.array(F.cos("id"), F.sin("id"), F.lit(0.5)).cast("array<float>").alias("embedding")).coalesce(1)
+    hubs = spark.range(n).select("id", F.array(F.cos(F.col("id") / n), F.sin(F.col("id") / n), F.col("id") / n).cast("array<float>").alias("centroid"))
+    assert matching.match_top2(posts, hubs, 3).where("event_id is not null and runner_id is not null").count() == 10_000
+
+    most = worker_peak(spark)
+    assert most < 1_000_000, f"a worker held {most >> 10} MB"
+
+
+@pytest.mark.parametrize("name", ["assign_with_identity"])
+def test_assignment_queries_hold_a_slice_of_the_cosines(spark, tmp_path, name):
+    vector = F.transform(F.sequence(F.lit(1), F.lit(384)), lambda i: F.cos(i * (F.col("id") % 50 + 1)).cast("float"))
+    at = F.lit(T0).alias("received_at")
+    spark.range(10_000).select("id", at, vector.alias("embedding"), F.array(F.lit("ORG:a")).alias("entities"), F.lit(1).cast("long").alias("event_id"), F.lit(None).cast("timestamp").alias("deleted_at")).coalesce(1).write.parquet(f"{tmp_path}/posts.parquet")
+    spark.range(20_000).select("id", F.lit(T0).alias("last_updated_at"), F.lit(True).alias("is_active"), vector.alias("centroid")).write.parquet(f"{tmp_path}/event_hubs.parquet")
+    queries = reference_queries.QUERIES | control_queries.QUERIES
+    assert queries[name](spark, str(tmp_path)).where("status is not null").count() == 10_000
+    most = worker_peak(spark)
     assert most < 1_000_000, f"a worker held {most >> 10} MB"
 
 
