@@ -107,7 +107,7 @@ def test_match_top2_holds_a_slice_of_the_cosines(spark):
     assert most < 1_000_000, f"a worker held {most >> 10} MB"
 
 
-@pytest.mark.parametrize("name", ["assign_with_identity"])
+@pytest.mark.parametrize("name", ["assign_with_identity", "decide_assignment"])
 def test_assignment_queries_hold_a_slice_of_the_cosines(spark, tmp_path, name):
     vector = F.transform(F.sequence(F.lit(1), F.lit(384)), lambda i: F.cos(i * (F.col("id") % 50 + 1)).cast("float"))
     at = F.lit(T0).alias("received_at")
