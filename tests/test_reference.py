@@ -138,6 +138,35 @@ def test_best_two_decides_in_double():
         assert all(abs(a[1] - b[1]) < 1e-11 for r in want for a, b in zip(got[r], want[r]))
 
 
+def test_best_two_holds_the_cosines_of_a_tile():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x, wide = unit(rng.normal(size=(256, 32))), unit(rng.normal(size=(20_000, 32)))
+    narrow = wide.astype(np.float32)
+    tracemalloc.start()
+    try:
+        matching.best_two(x, wide, narrow)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 10_000_000, f"{most >> 20} MB; the cosines of the whole block are 20 MB"
+
+
+@pytest.mark.parametrize("n", [1, 2, matching.HUB_TILE - 1, matching.HUB_TILE, matching.HUB_TILE + 1, 2 * matching.HUB_TILE + 3])
+def test_best_two_across_tiles(n):
+    rng = np.random.default_rng(n)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    x, wide = unit(rng.integers(1, 4, (50, 6)).astype(float)), unit(rng.integers(1, 4, (n, 6)).astype(float))  # many exact ties
+    got: dict[int, list] = {}
+    for row, place, _ in matching.best_two(x, wide, wide.astype(np.float32)):
+        for r, p in zip(row.tolist(), place.tolist()):
+            got.setdefault(r, []).append(p)
+    s = np.round(np.einsum("ij,kj->ik", x, wide), 12)
+    assert got == {r: np.lexsort((np.arange(n), -s[r]))[:2].tolist() for r in range(len(x))}
+
+
 def test_tiebreak_and_veto(spark):
     m = spark.createDataFrame([(1, 10, 0.60, 11, 0.58), (2, 10, 0.90, 11, 0.1), (3, 10, 0.60, 11, 0.58)], "post_id long, event_id long, sim double, runner_id long, runner_sim double")
     e = spark.createDataFrame([(1, ["ORG:b"]), (2, ["ORG:b"]), (3, None)], "post_id long, entities array<string>")

@@ -17,6 +17,8 @@ from tideloom.functions.text import entities_conflict, identity_tokens
 HUB_BLOCK = 20_000
 #: Posts multiplied with a block at once, so the matrix of cosines stays at `POST_SLICE` x `HUB_BLOCK` however long a batch is.
 POST_SLICE = 256
+#: Hubs of a block multiplied at once: the cosines of a slice with so many stay in the processor's cache, and no others are held.
+HUB_TILE = 500
 #: Hubs of one post whose cosine is taken anew in double; a post with more near ties is multiplied in double as a whole.
 NEAR_TIES = 32
 
@@ -38,28 +40,39 @@ def best_two(x: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> list[tuple[
     """(row, place, cosine) of the best and of the second best of `wide` for unit rows `x`; ties go to the smaller place.
 
     `narrow` is `wide` in single precision: its product is off by a known bound at most, so all that may be among the
-    best two in double is within twice that bound of the second, and only those cosines are taken in double.
+    best two in double is within twice that bound of the second, and only those cosines are taken in double. Of each
+    `HUB_TILE` hubs the two best values are kept; tiles that reach the second of all are multiplied once more.
     """
-    s = x.astype(np.float32) @ narrow.T
-    at = np.arange(len(x))
-    if s.shape[1] > 2:
-        first = s.argmax(axis=1)
-        top = s[at, first]
-        s[at, first] = -9
-        floor = s.max(axis=1)
-        s[at, first] = top
-        near = s >= (floor - np.float32(4 * (x.shape[1] + 8) * 2.0**-24))[:, None]
-    else:
-        near = np.ones(s.shape, bool)
-    del s
-    many = np.count_nonzero(near, axis=1) > NEAR_TIES
-    r, c = np.nonzero(near & ~many[:, None])
+    single, at = x.astype(np.float32), np.arange(len(x))
+    starts = range(0, len(narrow), HUB_TILE)
+    best, second = np.empty((2, len(starts), len(x)), np.float32)
+    for k, lo in enumerate(starts):
+        s = single @ narrow[lo : lo + HUB_TILE].T
+        place = s.argmax(axis=1)
+        best[k] = s[at, place]
+        s[at, place] = -9
+        second[k] = s.max(axis=1)
+    floor = second[best.argmax(axis=0), at]  # the second best is in the tile of the best, or the best of another one
+    if len(starts) > 1:
+        floor = np.maximum(floor, np.partition(best, -2, axis=0)[-2])
+    floor -= np.float32(4 * (x.shape[1] + 8) * 2.0**-24)
+    ties = np.zeros(len(x), int)
+    near = []
+    for k, lo in enumerate(starts):
+        rows = np.flatnonzero((best[k] >= floor) & (ties <= NEAR_TIES))
+        if len(rows):
+            i, c = np.nonzero(single[rows] @ narrow[lo : lo + HUB_TILE].T >= floor[rows, None])
+            ties += np.bincount(rows[i], minlength=len(x))
+            near.append((rows[i], c + lo))
+    r, c = (np.concatenate(a) for a in zip(*near))
+    many = ties > NEAR_TIES
+    r, c = r[~many[r]], c[~many[r]]
     v = np.round(np.einsum("ij,ij->i", x[r], wide[c]), 12)
     order = np.lexsort((c, -v, r))
     r, c, v = r[order], c[order], v[order]
     start = np.searchsorted(r, at[~many])
     out = [(r[start], c[start], v[start])]
-    start = start[np.count_nonzero(near[~many], axis=1) > 1] + 1
+    start = start[ties[~many] > 1] + 1
     out.append((r[start], c[start], v[start]))
     for rows in np.array_split(at[many], -(-int(many.sum()) // 64)) if many.any() else []:
         d = np.round(x[rows] @ wide.T, 12)
