@@ -120,6 +120,50 @@ def test_assignment_queries_hold_a_slice_of_the_cosines(spark, tmp_path, name):
     assert most < 1_000_000, f"a worker held {most >> 10} MB"
 
 
+def test_decide_assignment_sends_hubs_in_single_precision(spark, tmp_path, monkeypatch):
+    vector = F.transform(F.sequence(F.lit(1), F.lit(384)), lambda i: F.cos(i * (F.col("id") % 50 + 1)).cast("float"))
+    spark.range(100).select("id", F.lit(T0).alias("received_at"), vector.alias("embedding")).write.parquet(f"{tmp_path}/posts.parquet")
+    spark.range(3_000).select("id", F.lit(T0).alias("last_updated_at"), F.lit(True).alias("is_active"), vector.alias("centroid")).write.parquet(f"{tmp_path}/event_hubs.parquet")
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(sum(a.nbytes for a in value)) or send(value))
+    assert reference_queries.decide_assignment(spark, str(tmp_path)).where("status is not null").count() == 100
+    assert sum(sent) < 1.05 * 3_000 * 384 * 4, f"{sum(sent)} bytes"
+
+
+def test_best_two_makes_no_copy_of_the_hubs():
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(256, 384))
+    hubs = np.concatenate([rng.normal(size=(7_900, 384)), np.repeat(x[:1], 100, axis=0)]).astype(np.float32)  # one post with many ties
+    wide, length = matching.scaled(hubs.astype(np.float64))
+    wide = wide.astype(np.float32)
+    tracemalloc.start()
+    try:
+        matching.best_two(x / np.linalg.norm(x, axis=1, keepdims=True), wide, wide, length)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8_000_000, f"{most >> 20} MB; the hubs are 12 MB in single precision, 24 in double"
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_match_top2_of_long_and_short_vectors(spark, kind):
+    rng = np.random.default_rng(9)
+    c = rng.normal(size=(300, 6)) * 10.0 ** rng.integers(-36, 36, (300, 1))
+    c[200:] = c[:100] * 2.0 ** rng.integers(-3, 4, (100, 1))  # of equal direction: the smaller id is first
+    c = c.astype(np.float32 if kind == "float" else np.float64).astype(float)
+    x = rng.normal(size=(90, 6)).astype(np.float32).astype(float)
+    x[:40] = c[:40] / np.linalg.norm(c[:40], axis=1, keepdims=True)
+    posts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    hubs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], f"id long, centroid array<{kind}>")
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    s = np.round(np.einsum("ij,kj->ik", unit(x), unit(c)), 12)
+    got = {r.post_id: (r.event_id, r.runner_id, round(r.sim, 9), round(r.runner_sim, 9)) for r in matching.match_top2(posts, hubs, 6).collect()}
+    best = np.array([np.lexsort((np.arange(300), -row))[:2] for row in s])
+    assert got == {i: (int(b), int(r), round(s[i, b], 9), round(s[i, r], 9)) for i, (b, r) in enumerate(best)}
+
+
 def test_best_two_decides_in_double():
     rng = np.random.default_rng(3)
     unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)

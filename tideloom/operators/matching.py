@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tideloom.config import DEFAULT, Config
 from tideloom.functions.text import entities_conflict, identity_tokens
 
-#: Hub vectors held by a task at once, in rows; more hubs are matched block by block.
+#: Hub vectors held by a task at once, in rows and once each, as precise as their column; more hubs are matched block by block.
 HUB_BLOCK = 20_000
 #: Posts multiplied with a block at once, so the matrix of cosines stays at `POST_SLICE` x `HUB_BLOCK` however long a batch is.
 POST_SLICE = 256
@@ -21,6 +21,8 @@ POST_SLICE = 256
 HUB_TILE = 500
 #: Hubs of one post whose cosine is taken anew in double; a post with more near ties is multiplied in double as a whole.
 NEAR_TIES = 32
+#: Pairs of post and hub that are brought to double at once.
+PAIRS = 1024
 
 
 def fresh_hubs(hubs: DataFrame, as_of: datetime, hours: float = DEFAULT.hub_freshness_hours) -> DataFrame:
@@ -36,18 +38,36 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def best_two(x: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def scaled(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times a power of two that brings their length into [0.5, 1), which loses no digit, and that length; in double."""
+    power = np.frexp(np.linalg.norm(c, axis=1))[1]
+    c = np.ldexp(c, -power[:, None])
+    return c, np.linalg.norm(c, axis=1)
+
+
+def best_two(x: np.ndarray, wide: np.ndarray, narrow: np.ndarray, length: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, place, cosine) of the best and of the second best of `wide` for unit rows `x`; ties go to the smaller place.
 
     `narrow` is `wide` in single precision: its product is off by a known bound at most, so all that may be among the
     best two in double is within twice that bound of the second, and only those cosines are taken in double. Of each
-    `HUB_TILE` hubs the two best values are kept; tiles that reach the second of all are multiplied once more.
+    `HUB_TILE` hubs the two best values are kept; tiles that reach the second of all are multiplied once more. Rows of
+    `wide` are unit rows, or have the given `length` in double: of `scaled` single-precision rows no copy is held.
     """
     single, at = x.astype(np.float32), np.arange(len(x))
+    short = None if length is None else length.astype(np.float32)
+
+    def cosines(rows: np.ndarray, lo: int) -> np.ndarray:
+        s = rows @ narrow[lo : lo + HUB_TILE].T
+        return s if short is None else np.divide(s, short[lo : lo + HUB_TILE], out=s)
+
+    def unit(places: np.ndarray | slice) -> np.ndarray:
+        c = wide[places].astype(np.float64, copy=False)
+        return c if length is None else c / length[places, None]
+
     starts = range(0, len(narrow), HUB_TILE)
     best, second = np.empty((2, len(starts), len(x)), np.float32)
     for k, lo in enumerate(starts):
-        s = single @ narrow[lo : lo + HUB_TILE].T
+        s = cosines(single, lo)
         place = s.argmax(axis=1)
         best[k] = s[at, place]
         s[at, place] = -9
@@ -61,13 +81,16 @@ def best_two(x: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> list[tuple[
     for k, lo in enumerate(starts):
         rows = np.flatnonzero((best[k] >= floor) & (ties <= NEAR_TIES))
         if len(rows):
-            i, c = np.nonzero(single[rows] @ narrow[lo : lo + HUB_TILE].T >= floor[rows, None])
+            i, c = np.nonzero(cosines(single[rows], lo) >= floor[rows, None])
             ties += np.bincount(rows[i], minlength=len(x))
             near.append((rows[i], c + lo))
     r, c = (np.concatenate(a) for a in zip(*near))
     many = ties > NEAR_TIES
     r, c = r[~many[r]], c[~many[r]]
-    v = np.round(np.einsum("ij,ij->i", x[r], wide[c]), 12)
+    v = np.empty(len(r))
+    for lo in range(0, len(r), PAIRS):
+        v[lo : lo + PAIRS] = np.einsum("ij,ij->i", x[r[lo : lo + PAIRS]], unit(c[lo : lo + PAIRS]))
+    v = np.round(v, 12)
     order = np.lexsort((c, -v, r))
     r, c, v = r[order], c[order], v[order]
     start = np.searchsorted(r, at[~many])
@@ -75,7 +98,10 @@ def best_two(x: np.ndarray, wide: np.ndarray, narrow: np.ndarray) -> list[tuple[
     start = start[ties[~many] > 1] + 1
     out.append((r[start], c[start], v[start]))
     for rows in np.array_split(at[many], -(-int(many.sum()) // 64)) if many.any() else []:
-        d = np.round(x[rows] @ wide.T, 12)
+        d = np.empty((len(rows), len(wide)))
+        for lo in starts:
+            d[:, lo : lo + HUB_TILE] = x[rows] @ unit(slice(lo, lo + HUB_TILE)).T
+        np.round(d, 12, out=d)
         for _ in range(2):
             best = d.argmax(axis=1)  # of equals the smaller place
             here = np.arange(len(rows))
@@ -94,26 +120,28 @@ def match_top2(posts: DataFrame, hubs: DataFrame, dim: int, post_key: str = "id"
     spark = posts.sparkSession
     lean = posts.select(F.col(post_key).cast("long").alias("post_id"), F.col(post_vector).alias("v"))
     usable = hubs.where((F.size(hub_vector) == dim) & F.col(hub_key).isNotNull()).select(F.col(hub_key).cast("long").alias("h"), F.col(hub_vector).alias("c"))
+    kind = np.float32 if dict(usable.dtypes)["c"] == "array<float>" else np.float64
     schema = "post_id long, h long, s double"
     parts: list[DataFrame] = []
 
     def packed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Usable hubs as rows of bytes: ids, then unit vectors as doubles."""
+        """Usable hubs as rows of bytes: ids, then scaled vectors as precise as they came, then their lengths."""
         for b in stream:
             c = _rows(b.column(1)) if b.num_rows else np.zeros((0, dim))
             length = np.linalg.norm(c, axis=1)
             good = np.isfinite(length) & (length > 0)
             if good.any():
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy()[good].tobytes()], pa.binary()), pa.array([(c[good] / length[good, None]).tobytes()], pa.binary())], names=["ids", "vectors"])
+                c, length = scaled(c[good])
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (b.column(0).to_numpy()[good], c.astype(kind, copy=False), length)], names=["ids", "vectors", "lengths"])
 
-    def block(ids: list[np.ndarray], vectors: list[np.ndarray]) -> None:
+    def block(ids: list[np.ndarray], vectors: list[np.ndarray], lengths: list[np.ndarray]) -> None:
         names = np.concatenate(ids)
         order = np.argsort(names, kind="stable")
-        sent = spark.sparkContext.broadcast((names[order], np.concatenate(vectors)[order]))
+        sent = spark.sparkContext.broadcast((names[order], np.concatenate(vectors)[order], np.concatenate(lengths)[order]))
 
         def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hub_ids, centres = sent.value
-            narrow = centres.astype(np.float32)
+            hub_ids, centres, lengths = sent.value
+            narrow = centres.astype(np.float32, copy=False)
             for whole in stream:
                 found = []
                 for lo in range(0, whole.num_rows, POST_SLICE):
@@ -123,7 +151,7 @@ def match_top2(posts: DataFrame, hubs: DataFrame, dim: int, post_key: str = "id"
                     ok = np.isfinite(size) & (size > 0)
                     keys = b.column(0).to_numpy()[ok]
                     if len(keys):
-                        found += [(keys[row], hub_ids[place], sims) for row, place, sims in best_two(x[ok] / size[ok, None], centres, narrow)]
+                        found += [(keys[row], hub_ids[place], sims) for row, place, sims in best_two(x[ok] / size[ok, None], centres, narrow, lengths)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["post_id", "h", "s"])
 
@@ -131,14 +159,16 @@ def match_top2(posts: DataFrame, hubs: DataFrame, dim: int, post_key: str = "id"
 
     ids: list[np.ndarray] = []
     vectors: list[np.ndarray] = []
-    for row in usable.mapInArrow(packed, "ids binary, vectors binary").toLocalIterator():  # at most HUB_BLOCK hubs and one batch are held
+    lengths: list[np.ndarray] = []
+    for row in usable.mapInArrow(packed, "ids binary, vectors binary, lengths binary").toLocalIterator():  # at most HUB_BLOCK hubs and one batch are held
         ids.append(np.frombuffer(row.ids, np.int64))
-        vectors.append(np.frombuffer(row.vectors, np.float64).reshape(-1, dim))
+        vectors.append(np.frombuffer(row.vectors, kind).reshape(-1, dim))
+        lengths.append(np.frombuffer(row.lengths, np.float64))
         if sum(map(len, ids)) >= HUB_BLOCK:
-            block(ids, vectors)
-            ids, vectors = [], []
+            block(ids, vectors, lengths)
+            ids, vectors, lengths = [], [], []
     if ids:
-        block(ids, vectors)
+        block(ids, vectors, lengths)
     found = spark.createDataFrame([], schema)
     for p in parts:
         found = found.union(p)
